@@ -9,6 +9,8 @@ import sys
 import time
 from pathlib import Path
 
+import pandas as pd
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
@@ -20,7 +22,7 @@ TABLES = (
 
 
 def norm(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()

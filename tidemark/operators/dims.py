@@ -75,10 +75,10 @@ def active_themes(themes: DataFrame, as_of: DataFrame) -> DataFrame:
     """Per date the active or watched themes in force; where none is, the next start date."""
     live = effective_at(themes.where(F.col("status").isin("active", "watch")), as_of)
     per_day = live.groupBy("as_of").agg(
-        F.array_sort(F.collect_set("theme_id")).alias("theme_ids")
+        F.sort_array(F.collect_set("theme_id")).alias("theme_ids")
     )
     starts = themes.where(F.col("effective_from").isNotNull()).agg(
-        F.array_sort(F.collect_set("effective_from")).alias("_starts")
+        F.sort_array(F.collect_set("effective_from")).alias("_starts")
     )
     return (
         as_of.select("as_of").distinct().join(per_day, "as_of", "left")
@@ -100,7 +100,7 @@ def theme_members(memberships: DataFrame, as_of: DataFrame | dt.date) -> DataFra
     entry = F.struct(F.col("pos"), F.upper(clean(F.col("ticker"))).alias("ticker"))
 
     def tickers(cond: Column, name: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, entry))), lambda e: e["ticker"]).alias(name)
+        return F.transform(F.sort_array(F.collect_list(F.when(cond, entry))), lambda e: e["ticker"]).alias(name)
 
     role = F.col("role")
     overlay = (role == "watch") & F.lower(F.coalesce(F.col("notes"), F.lit(""))).contains("overlay")

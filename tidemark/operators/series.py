@@ -92,7 +92,7 @@ def eligible_sets(days: DataFrame, as_of: DataFrame, floors: dict[str, int]) ->
     entry = F.struct("pos", "ticker")
 
     def listed(cond: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, entry))), lambda e: e["ticker"])
+        return F.transform(F.sort_array(F.collect_list(F.when(cond, entry))), lambda e: e["ticker"])
 
     live = days.join(as_of.select(F.col("as_of").alias("session")), "session", "left_semi").where("in_force")
     aggs = [listed(F.lit(True)).alias("members")]
@@ -102,7 +102,7 @@ def eligible_sets(days: DataFrame, as_of: DataFrame, floors: dict[str, int]) ->
 
 def signature(tickers: Column) -> Column:
     """Short stable name of a ticker set."""
-    return F.md5(F.array_join(F.array_sort(tickers), ","))
+    return F.md5(F.array_join(F.sort_array(tickers), ","))
 
 
 def epochs_of(sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -179,22 +179,28 @@ def dated_frames(frames: DataFrame, lookback: int = LOOKBACK_BARS) -> DataFrame:
     return spread.withColumn("frame_n", F.sum((F.col("seq") == F.col("t")).cast("int")).over(w))
 
 
-def trailing_robust_z(values: Column, signal: int) -> Column:
-    """Median of the last `signal` array entries against median and MAD of those before."""
+def sorted_median(values: Column, n: int) -> Column:
+    """Median of an array of known length n; the sorted array is evaluated once."""
+    s = F.sort_array(values)
+    if n % 2:
+        return F.get(s, F.lit(n // 2))
+    return F.aggregate(F.slice(s, n // 2, 2), F.lit(0.0), lambda a, x: a + x) / 2
 
-    def median(a: Column, n: Column) -> Column:
-        s = F.array_sort(a)
-        half = (n / 2).cast("int")
-        return (F.get(s, half) + F.get(s, (n - 1 - half).cast("int"))) / 2
 
-    n = F.size(values)
-    hist = F.slice(values, F.lit(1), n - signal)
-    current = median(F.slice(values, n - signal + 1, F.lit(signal)), F.lit(signal))
-    m = n - signal
-    mid = median(hist, m)
-    mad = median(F.transform(hist, lambda x: F.abs(x - mid)), m)
-    scale = mad * 1.4826
-    return F.when(m >= 20, F.when(scale <= 1e-12, 0.0).otherwise((current - mid) / F.when(scale > 1e-12, scale)))
+def trailing_robust_z(values: Column, history: int, signal: int) -> Column:
+    """Median of the last `signal` entries against median and MAD of the `history` before.
+
+    The centre is handed to zip_with as an array, not captured by its lambda: a captured
+    expression would be evaluated again for every element.
+    """
+    current = sorted_median(F.slice(values, history + 1, signal), signal)
+    hist = F.slice(values, 1, history)
+    mid = sorted_median(hist, history)
+    devs = F.zip_with(hist, F.array_repeat(mid, history), lambda x, m: F.abs(x - m))
+    scale = sorted_median(devs, history) * 1.4826
+    if history < 20:
+        return F.lit(None).cast("double")
+    return F.when(scale <= 1e-12, 0.0).otherwise((current - mid) / F.when(scale > 1e-12, scale))
 
 
 def breadth_marks(bars: DataFrame, ma: int, change: int) -> DataFrame:
@@ -221,12 +227,16 @@ def activity_marks(bars: DataFrame, history: int, signal: int) -> DataFrame:
     rows = rows.withColumn("_n", F.row_number().over(w))
     last = Window.partitionBy("ticker").orderBy("_k").rangeBetween(-(history + signal - 1), 0)
     dv = F.when(F.col("_pos") == 1, F.struct(F.col("_k"), F.col("_dv")))
-    rows = rows.withColumn("_dvs", F.transform(F.array_sort(F.collect_list(dv).over(last)), lambda e: e["_dv"]))
     ready = (F.col("_n") >= history + signal + 5) & (F.col("_k") >= history + signal)
-    z = trailing_robust_z(F.transform("_dvs", lambda x: F.log(x)), signal)
-    five = F.get(F.array_sort(F.slice("_dvs", -5, 5)), F.lit(2))
-    return rows.select(
-        "ticker", "session", F.when(ready, z).alias("stock_z"), F.when(ready, five).alias("recent_dv")
+    lists = (
+        rows.select("ticker", "session", "_k", "_n", F.collect_list(dv).over(last).alias("_e"))
+        .select("ticker", "session", F.when(ready, F.sort_array("_e")["_dv"]).alias("_dvs"))
+    )
+    z = trailing_robust_z(F.transform("_dvs", lambda x: F.log(x)), history, signal)
+    five = sorted_median(F.slice("_dvs", -5, 5), 5)
+    return lists.select(
+        "ticker", "session",
+        F.when(F.col("_dvs").isNotNull(), z).alias("stock_z"), F.when(F.col("_dvs").isNotNull(), five).alias("recent_dv"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions.scoring import band_label, piecewise_score, safe_div, weighted_score
 from tidemark.operators import series as S
+from tidemark.operators.keyed import cut_lineage
 
 CORE_COLUMNS = ["theme_id", "ticker", "pos", "benchmark", "effective_from", "effective_to"]
 
@@ -251,7 +252,7 @@ def live_sets(members: DataFrame, as_of: DataFrame, calendar: DataFrame) -> Data
     dates = as_of.select(F.col("as_of")).join(calendar.withColumnRenamed("session", "as_of"), "as_of")
     live = effective_at(members, dates).join(dates, "as_of")
     return live.groupBy("theme_id", "as_of", "seq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "ticker"))), lambda e: e["ticker"]).alias("members")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "ticker"))), lambda e: e["ticker"]).alias("members")
     )
 
 
@@ -396,7 +397,7 @@ def turning_from(ev: DataFrame, velocity: DataFrame, heat_rows: DataFrame, stres
         ev.join(vel, keys, "left").join(hot, keys, "left").join(stress.select("as_of", "stress_active"), "as_of", "left")
         .select(
             *keys, eligible.alias("turning_eligible"), pct.alias("rs_percentile"), dd.alias("drawdown"),
-            low_ok.alias("no_new_low"),
+            held.alias("no_new_low"),
             F.when(eligible, reasons).otherwise(F.array().cast("array<string>")).alias("reasons"),
             (eligible & (is_low | is_deep) & moved & wider & held & ~alone).alias("turning_active"),
             F.coalesce("stress_active", F.lit(False)).alias("stress_caution"),
@@ -500,7 +501,7 @@ def data_quality(sets: DataFrame, bars: DataFrame, heat_rows: DataFrame, modes:
         .join(first_bar, "ticker", "left")
         .where(F.col("_first").isNull() | (F.col("_first") > F.col("as_of")))
         .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda e: e["ticker"]).alias("missing_core"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "ticker"))), lambda e: e["ticker"]).alias("missing_core"))
     )
     s_n, h_n, mode = F.size("elig_strength"), F.coalesce("heat_n", F.lit(0)), F.col("score_mode")
     scored = mode.isin("ranked", "thin")
@@ -552,12 +553,13 @@ def theme_snapshot(
     """
     keys = ["theme_id", "as_of"]
     members = core_members(themes, memberships)
-    days = S.member_days(bars, members, lookback)
+    # Read by every signal below: written once instead of recomputed per signal.
+    days = cut_lineage(S.member_days(bars, members, lookback))
     floors = {
         "strength": C.STRENGTH["window"], "velocity": velocity_floor(), "turning": turning_floor(),
         "heat": C.HEAT["return_days"],
     }
-    sets = S.eligible_sets(days, as_of, floors)
+    sets = cut_lineage(S.eligible_sets(days, as_of, floors))
     shared = {k: floors[k] for k in ("strength", "velocity", "turning")}
     v, t = velocity_measures(), turning_measures()
     measures = [{**strength_measures()[0], **v[0], **t[0]}, {**v[1], **t[1]}, t[2]]
@@ -565,7 +567,8 @@ def theme_snapshot(
     modes = themes.select("theme_id", "score_mode", "theme_class")
     st = strength_from(ev["strength"].join(modes, "theme_id"), F.col("score_mode"))
     vel = velocity_confirmed(velocity_from(ev["velocity"]), prior=prior)
-    hot = heat_from(days, sets.drop("elig_strength", "elig_velocity", "elig_turning"), ticker_marks(bars, calendar), lookback=lookback)
+    marks = cut_lineage(ticker_marks(bars, calendar))
+    hot = cut_lineage(heat_from(days, sets.drop("elig_strength", "elig_velocity", "elig_turning"), marks, lookback=lookback))
     turn = turning_from(ev["turning"], vel, hot, stress)
     quality = data_quality(sets, bars, hot, modes)
     on, scored, turns = F.col("score_mode") != "none", F.col("score_mode").isin("ranked", "thin"), F.col("theme_class").isin("structural", "tactical")

@@ -424,7 +424,7 @@ _TURN = {
 }
 
 _TURN_SELECT = f"""SELECT theme_id, {day('as_of')}, eligible AS turning_eligible, {r('pct')} AS rs_percentile, {r('dd')} AS drawdown,
-           since_low >= 5 AS no_new_low,
+           coalesce(since_low >= 5, FALSE) AS no_new_low,
            CASE WHEN eligible THEN concat_ws(',', CASE WHEN pct <= 0.15 THEN 'RS oversold' END, CASE WHEN dd <= -0.25 THEN 'deep drawdown' END,
                      CASE WHEN moved THEN 'Lagging→Improving' END, CASE WHEN wider THEN 'breadth recovering' END,
                      CASE WHEN since_low >= 5 THEN 'no new relative low' END) ELSE '' END AS reasons,
