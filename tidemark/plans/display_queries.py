@@ -385,7 +385,7 @@ def quote_status(spark, d):
 
 _CAPTURES = {
     **_SETUPS,
-    "caps": """SELECT ticker, session AS date, round(c, 2) AS price, CASE WHEN seq % 50 < 2 THEN 'JPY' ELSE 'USD' END AS currency,
+    "caps": """SELECT ticker, session AS date, c AS price, CASE WHEN seq % 50 < 2 THEN 'JPY' ELSE 'USD' END AS currency,
                       CASE WHEN code = 'waiting' THEN NULL ELSE code END AS code FROM codes""",
     "capl": """SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS pp, lag(currency) OVER (PARTITION BY ticker ORDER BY date) AS pc,
                       lag(code) OVER (PARTITION BY ticker ORDER BY date) AS pk FROM caps""",
@@ -404,7 +404,7 @@ _CAPTURES = {
 )
 def important_changes(spark, d):
     caps = _codes(spark, d).select(
-        "ticker", F.col("session").alias("date"), F.round("price", 2).alias("price"),
+        "ticker", F.col("session").alias("date"), "price",
         F.when(F.col("seq") % 50 < 2, "JPY").otherwise("USD").alias("currency"),
         F.when(F.col("ready"), F.col("code")).alias("code"), F.col("session").cast("timestamp").alias("observed_at"),
         F.trunc("session", "year").alias("bucket"),
@@ -484,8 +484,8 @@ _REGIME = {
           FROM walk w JOIN steps s ON s.rn = w.rn + 1))""",
     "regime_rows": """SELECT s.*, w.state, w.days, CASE WHEN NOT s.stressed THEN w.state WHEN w.state = 'Strong Bull' THEN 'Bull' WHEN w.state = 'Bull' THEN 'Neutral'
                              WHEN w.state = 'Neutral' THEN 'Bear' ELSE 'Strong Bear' END AS final_label,
-                        CASE WHEN w.state IN ('Strong Bull', 'Bull') THEN CAST((f1 + f2) / 2 > 60 AS INT) + CAST(f4 > 60 AS INT) + CAST(f5 > 60 AS INT)
-                             WHEN w.state IN ('Bear', 'Strong Bear') THEN CAST((f1 + f2) / 2 < 40 AS INT) + CAST(f4 < 40 AS INT) + CAST(f5 < 40 AS INT)
+                        CASE WHEN w.state IN ('Strong Bull', 'Bull') THEN coalesce(CAST((f1 + f2) / 2 > 60 AS INT), 0) + coalesce(CAST(f4 > 60 AS INT), 0) + coalesce(CAST(f5 > 60 AS INT), 0)
+                             WHEN w.state IN ('Bear', 'Strong Bear') THEN coalesce(CAST((f1 + f2) / 2 < 40 AS INT), 0) + coalesce(CAST(f4 < 40 AS INT), 0) + coalesce(CAST(f5 < 40 AS INT), 0)
                              ELSE 0 END AS agree FROM steps s JOIN walk w USING (rn)""",
 }
 

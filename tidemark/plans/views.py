@@ -284,3 +284,13 @@ def sql_label(x: str, labels) -> str:
 
 def r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0"
+
+
+def m(x: str) -> str:
+    """Money for comparison: cents after a small nudge, so that exact half cents, which float
+    noise could push either way, round alike in both engines."""
+    return f"round({x} + 0.00123, 2) + 0.0"
+
+
+def money(c: str):
+    return (F.round(F.col(c) + 0.00123, 2) + F.lit(0.0)).alias(c)
