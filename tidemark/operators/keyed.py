@@ -61,33 +61,56 @@ def split_lag(
     return out.withColumn("_first", F.col("_prev").isNull()).drop("_payload", "_prev", "_carry")
 
 
-def running_totals(
-    df: DataFrame, keys: list[str], bucket: str, order: list[str], sums: dict[str, Column],
-    inclusive: bool = True,
-) -> DataFrame:
-    """Cumulative sums per key, windowed per (key, bucket) plus carried bucket totals."""
-    rows = df
-    for name, col in sums.items():
-        rows = rows.withColumn(f"_v_{name}", col)
-    end = 0 if inclusive else -1
-    inside = (
-        Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+_FOLDS = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], folds: dict[str, tuple[str, str]]) -> DataFrame:
+    """Running sum / min / max per key up to and including each row.
+
+    `folds` maps output name -> (fold, input column). Windows run per (key, bucket); totals of
+    earlier buckets are carried from a table with one row per key and bucket.
+    """
+    upto = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, bucket).agg(*[_FOLDS[f][0](c).alias(f"_b_{n}") for n, (f, c) in folds.items()])
+    carried = totals.select(
+        *keys, bucket, *[_FOLDS[f][0](f"_b_{n}").over(before).alias(f"_c_{n}") for n, (f, _) in folds.items()]
+    )
+    rows = df.select("*", *[_FOLDS[f][0](c).over(upto).alias(f"_i_{n}") for n, (f, c) in folds.items()])
+    keep = [c for c in df.columns if c not in folds]
+    return rows.join(carried, [*keys, bucket]).select(
+        *keep, *[_FOLDS[f][1](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n) for n, (f, _) in folds.items()]
+    )
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], bins: int = 1024) -> DataFrame:
+    """Element int((n - 1) * q) of the sorted values of each key, without interpolation.
+
+    Values are counted per equal-width bin; only the bin that holds the wanted rank is ordered,
+    and equal values are merged first, so no key is ever sorted or collected as a whole.
+    """
+    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    wanted = span.select(
+        *keys, "_lo", "_hi",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.floor((F.col("_n") - 1) * q).alias("rank")) for k, q in ranks.items()])).alias("_w"),
+    ).select(*keys, F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    number = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    counts = (
+        df.where(F.col(value).isNotNull()).join(span.drop("_n"), keys)
+        .withColumn("_bin", number).groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_c"))
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = per_bin.withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+    hit = per_bin.join(wanted, keys).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_bc")))
+    inner = Window.partitionBy(*keys, "_bin", "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        counts.join(hit, [*keys, "_bin"])
+        .withColumn("_upto", F.col("_start") + F.sum("_c").over(inner))
+        .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
     )
-    totals = rows.groupBy(*keys, bucket).agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums])
-    for name in sums:
-        totals = totals.withColumn(f"_c_{name}", F.sum(f"_b_{name}").over(before)).drop(f"_b_{name}")
-    for name in sums:
-        rows = rows.withColumn(name, F.sum(f"_v_{name}").over(inside))
-    rows = rows.drop(*[f"_v_{n}" for n in sums]).join(totals, [*keys, bucket])
-    for name in sums:
-        zero = F.lit(0)
-        rows = rows.withColumn(
-            name, F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
-        ).drop(f"_c_{name}")
-    return rows
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == k, F.col(value))).alias(k) for k in ranks])
 
 
 def asof_join(

@@ -141,9 +141,9 @@ _VALUE = {
 )
 def value_holdings(spark, d):
     out = P.value_holdings(holdings(spark, d), _quotes(spark, d), fx(spark, d), _now())
-    money = [money(c) for c in ("value", "value_jpy", "cost_jpy", "pnl", "pnl_jpy")]
+    amounts = [money(c) for c in ("value", "value_jpy", "cost_jpy", "pnl", "pnl_jpy")]
     return out.select(
-        "account_id", "ticker", "quote_currency", F.col("price_date").cast("string").alias("price_date"), *money,
+        "account_id", "ticker", "quote_currency", F.col("price_date").cast("string").alias("price_date"), *amounts,
         money("pnl_rate"), F.coalesce("stale", F.lit(False)).alias("stale"),
     )
 
