@@ -14,7 +14,7 @@ def clean(x: Column) -> Column:
 def parse_date(x: Column) -> Column:
     """Strict yyyy-MM-dd; anything else is NULL."""
     x = clean(x)
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, F.lit("yyyy-MM-dd")))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
 
 
 def parse_utc(x: Column) -> Column:

@@ -26,7 +26,8 @@ def _horizon(c):
 @query(
     "session_window",
     with_views(
-        f"""SELECT o.o_orderkey, {day('s.session', 'entry_session')}, {day('x.session', 'exit_session')},
+        f"""SELECT o.o_orderkey, CASE WHEN CAST(o.at AS DATE) BETWEEN (SELECT min(session) FROM sessions) AND (SELECT max(session) FROM sessions) THEN CAST(s.session AS VARCHAR) END AS entry_session,
+                   CASE WHEN CAST(o.at AS DATE) BETWEEN (SELECT min(session) FROM sessions) AND (SELECT max(session) FROM sessions) THEN CAST(x.session AS VARCHAR) END AS exit_session,
                    CASE WHEN CAST(o.at AS DATE) < (SELECT min(session) FROM sessions) OR CAST(o.at AS DATE) > (SELECT max(session) FROM sessions)
                         THEN 'issue outside calendar coverage' WHEN x.seq IS NULL THEN 'calendar does not cover maturity' END AS window_error
             FROM (SELECT o_orderkey, [5, 20, 60][o_orderkey % 3 + 1] AS h, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL '1 hour' AS at FROM orders) o
@@ -208,7 +209,7 @@ def score_outcomes(spark, d):
 @query(
     "version_outcomes",
     with_views(
-        f"""SELECT e.request_id, CASE WHEN s.bad IS NULL THEN CASE WHEN e.bad IS NULL THEN 2 ELSE 1 END END AS outcome_version, CASE WHEN s.bad IS NOT NULL THEN s.bad END AS error
+        f"""SELECT e.request_id, CAST(CASE WHEN s.bad IS NULL THEN CASE WHEN e.bad IS NULL THEN 2 ELSE 1 END END AS BIGINT) AS outcome_version, CASE WHEN s.bad IS NOT NULL THEN s.bad END AS error
             FROM escored e JOIN scored s USING (request_id) WHERE e.exit_at <= TIMESTAMP '{TRAINED}' AND (s.bad IS NULL OR e.bad IS NULL)""",
         _LG,
     ),
@@ -508,7 +509,7 @@ def decision_log(spark, d):
 
 @query(
     "rationale_log",
-    """SELECT event_id, array_to_string(list_sort(list_filter(tags, x -> NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, x -> NOT list_contains(tags, x))), ',') AS removed
+    """SELECT event_id, array_to_string(list_sort(list_filter(tags, lambda x: NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(tags, x))), ',') AS removed
        FROM (SELECT *, coalesce(lag(tags) OVER (PARTITION BY user_id ORDER BY ts, event_id), CAST([] AS VARCHAR[])) AS before
              FROM (SELECT *, list_sort(list_distinct([event_type, 'k' || event_id % 3])) AS tags FROM events)) WHERE tags <> before""",
 )

@@ -258,7 +258,7 @@ def velocity_raw(spark, d):
 @query(
     "velocity_confirmed",
     with_views(
-        f"""SELECT theme_id, {day('as_of')}, raw_state, state, candidate, days AS candidate_days, confirmed FROM fold""",
+        f"""SELECT theme_id, {day('as_of')}, raw_state, state, candidate, CAST(days AS BIGINT) AS candidate_days, confirmed FROM fold""",
         _VELOCITY,
     ),
 )
