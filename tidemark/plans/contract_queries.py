@@ -22,10 +22,10 @@ from tidemark.sources import sinks as SK
 _ANCHOR = C.STRENGTH["risk_adjusted"]
 
 
-@query("piecewise_score", f"SELECT o_orderkey, {r(sql_piecewise('(o_totalprice / 100000 - 2.5)', _ANCHOR))} AS score FROM orders")
+@query("piecewise_score", f"SELECT o_orderkey, {r(sql_piecewise('(o_totalprice / 100000 - 2.5)', _ANCHOR), 9)} AS score FROM orders")
 def piecewise_score(spark, d):
     o = V.table(spark, d, "orders")
-    return flat(o.select("o_orderkey", SC.piecewise_score(F.col("o_totalprice") / 100000 - 2.5, _ANCHOR).alias("score")))
+    return flat(o.select("o_orderkey", SC.piecewise_score(F.col("o_totalprice") / 100000 - 2.5, _ANCHOR).alias("score")), 9)
 
 
 @query("band_label", f"SELECT o_orderkey, {sql_label('o_totalprice / 5000', C.STRENGTH['labels'])} AS label FROM orders")
@@ -33,7 +33,7 @@ def band_label(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", SC.band_label(F.col("o_totalprice") / 5000, C.STRENGTH["labels"]).alias("label"))
 
 
-@query("weighted_score", f"SELECT l_orderkey, l_linenumber, l_partkey, {r('0.7 * l_quantity + 0.3 * CASE WHEN l_discount > 0.02 THEN l_discount * 100 END')} AS score FROM lineitem")
+@query("weighted_score", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, {r('0.7 * l_quantity + 0.3 * CASE WHEN l_discount > 0.02 THEN l_discount * 100 END')} AS score FROM lineitem")
 def weighted_score(spark, d):
     li = V.table(spark, d, "lineitem")
     score = SC.weighted_score({"a": F.col("l_quantity"), "b": F.when(F.col("l_discount") > 0.02, F.col("l_discount") * 100)}, {"a": 0.7, "b": 0.3})
@@ -189,7 +189,9 @@ def config_warnings(spark, d):
     return K.config_warnings(V.themes(spark, d), V.memberships(spark, d))
 
 
-@query("validate_candidate")
+@query("validate_candidate", with_views(
+    """SELECT CASE theme_id WHEN 'T1' THEN 'newly_insufficient' WHEN 'T2' THEN 'new_missing_data' WHEN 'T3' THEN 'fewer_strength_eligible' ELSE 'lost_strength_score' END AS rule, theme_id AS key,
+              CASE theme_id WHEN 'T2' THEN 'Brand#11' WHEN 'T3' THEN '3' END AS detail FROM themes WHERE theme_id <> 'T0'"""))
 def validate_candidate(spark, d):
     """Two neighbouring snapshots built from bars, the second with planted faults."""
     bars = V.bars(spark, d)
@@ -257,7 +259,7 @@ def check_calendar(spark, d):
 
 
 @query("check_archive", with_views(
-    """SELECT 'ticker' AS rule, ticker || '|' || session AS key, ticker AS detail FROM bars WHERE ticker = 'Brand#3' UNION ALL SELECT 'value', 'BRAND' || substr(ticker, 7) || '|' || session, '-1.0' FROM bars WHERE volume < 100 AND ticker <> 'Brand#3'
+    """SELECT 'ticker' AS rule, ticker || '|' || session AS key, ticker AS detail FROM bars WHERE ticker = 'Brand#3' UNION ALL SELECT 'value', 'BRAND' || substr(ticker, 7) || '|' || session, '-1.0' FROM bars WHERE volume < 100 AND ticker <> 'Brand#3' UNION ALL SELECT 'value', ticker || '|' || session, '-1.0' FROM bars WHERE volume < 100 AND ticker = 'Brand#3'
        UNION ALL SELECT 'too_long', 'BRAND' || substr(ticker, 7), CAST(count(*) AS VARCHAR) FROM bars WHERE ticker <> 'Brand#3' GROUP BY ticker HAVING count(*) > 356
        UNION ALL SELECT 'too_long', ticker, CAST(count(*) AS VARCHAR) FROM bars WHERE ticker = 'Brand#3' GROUP BY ticker HAVING count(*) > 356"""))
 def check_archive(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -514,7 +516,19 @@ def theme_momentum(spark, d):
     return flat(T.theme_momentum(st.select("theme_id", "as_of", F.col("strength_score").alias("score"))))
 
 
-@query("theme_snapshot")
+_S = {f"s_{k}": v for k, v in _STRENGTH_VIEWS.items()}
+for _name in _STRENGTH_VIEWS:
+    _S = {k: re.sub(rf"\b((?:FROM|JOIN)\s+){_name}\b", rf"\1s_{_name}", v) for k, v in _S.items()}
+
+_SNAPSHOT = f"""SELECT x.theme_id, {day('x.as_of', 'as_of')},
+         CASE WHEN x.score_mode = 'ranked' AND x.en >= 4 THEN 'ok' WHEN x.score_mode = 'thin' AND x.en >= 2 THEN 'thin' ELSE 'insufficient' END AS quality,
+         (SELECT count(*) FROM live_core l WHERE l.theme_id = x.theme_id AND l.as_of = x.as_of) AS core_total, {r('x.score')} AS strength_score, {sql_label('x.score', C.STRENGTH['labels'])} AS strength_label,
+         f.state AS velocity_state, f.confirmed AS velocity_confirmed, {r('h.heat_score')} AS heat_score, h.hot,
+         coalesce(t.eligible AND (t.pct <= 0.15 OR t.dd <= -0.25) AND t.moved AND t.wider AND t.since_low >= 5 AND NOT t.alone, FALSE) AS turning_active, {r('t.pct')} AS rs_percentile
+      FROM s_strength_rows x JOIN fold f USING (theme_id, as_of) JOIN heat_flags h USING (theme_id, as_of) JOIN turning_rows t USING (theme_id, as_of)"""
+
+
+@query("theme_snapshot", with_views(_SNAPSHOT, {**_TURN, **_S}))
 def theme_snapshot(spark, d):
     """Nested snapshot of every theme and date, flattened to its main values."""
     snap = T.theme_snapshot(
