@@ -340,9 +340,10 @@ def heat(
     bars: DataFrame, members: DataFrame, as_of: DataFrame, calendar: DataFrame, cfg=C.HEAT,
     lookback: int = C.LOOKBACK_BARS,
 ) -> DataFrame:
-    days = S.member_days(bars, members, lookback)
-    sets = S.eligible_sets(days, as_of, {"heat": cfg["return_days"]})
-    return heat_from(days, sets, ticker_marks(bars, calendar, cfg), cfg, lookback)
+    # Both variants and every factor read these: written once instead of recomputed.
+    days = cut_lineage(S.member_days(bars, members, lookback))
+    sets = cut_lineage(S.eligible_sets(days, as_of, {"heat": cfg["return_days"]}))
+    return heat_from(days, sets, cut_lineage(ticker_marks(bars, calendar, cfg)), cfg, lookback)
 
 
 def turning_floor(cfg=C.TURNING) -> int:
