@@ -187,5 +187,5 @@ def test_published_regime_day(spark):
         "grade_ret63 double, vix double, growth_volatility double, growth_drawdown double, growth_ret5 double, state string",
     )
     out = R.confidence(R.stress(R.instability_score(R.trend_score(row)))).withColumn("final", R.worse(F.col("state"))).first()
-    assert out["trend"] == pytest.approx(33.0405, abs=1e-3) and out["instability"] == pytest.approx(96.4325, abs=1e-3)
+    assert out["trend"] == pytest.approx(33.04, abs=5e-3) and out["instability"] == pytest.approx(96.43, abs=5e-3)
     assert out["stress_active"] and out["final"] == "Bear" and out["confidence"] == "Low" and out["instability_label"] == "Stress"

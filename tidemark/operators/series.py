@@ -179,28 +179,30 @@ def dated_frames(frames: DataFrame, lookback: int = LOOKBACK_BARS) -> DataFrame:
     return spread.withColumn("frame_n", F.sum((F.col("seq") == F.col("t")).cast("int")).over(w))
 
 
-def sorted_median(values: Column, n: int) -> Column:
+def sorted_median(values: Column, n: int, is_sorted: bool = False) -> Column:
     """Median of an array of known length n; the sorted array is evaluated once."""
-    s = F.sort_array(values)
+    s = values if is_sorted else F.sort_array(values)
     if n % 2:
         return F.get(s, F.lit(n // 2))
     return F.aggregate(F.slice(s, n // 2, 2), F.lit(0.0), lambda a, x: a + x) / 2
 
 
-def trailing_robust_z(values: Column, history: int, signal: int) -> Column:
-    """Median of the last `signal` entries against median and MAD of the `history` before.
+def trailing_robust_z(df: DataFrame, values: str, history: int, signal: int, out: str) -> DataFrame:
+    """Median of the last `signal` entries of an array against median and MAD of the `history` before.
 
-    The centre is handed to zip_with as an array, not captured by its lambda: a captured
-    expression would be evaluated again for every element.
+    Done in steps, each array sorted once; the centre is handed to zip_with as an array because
+    a value captured by its lambda would be evaluated again for every element.
     """
-    current = sorted_median(F.slice(values, history + 1, signal), signal)
-    hist = F.slice(values, 1, history)
-    mid = sorted_median(hist, history)
-    devs = F.zip_with(hist, F.array_repeat(mid, history), lambda x, m: F.abs(x - m))
-    scale = sorted_median(devs, history) * 1.4826
-    if history < 20:
-        return F.lit(None).cast("double")
-    return F.when(scale <= 1e-12, 0.0).otherwise((current - mid) / F.when(scale > 1e-12, scale))
+    keep = df.columns
+    rows = df.select(
+        "*", sorted_median(F.slice(values, history + 1, signal), signal).alias("_cur"), F.sort_array(F.slice(values, 1, history)).alias("_hist")
+    )
+    rows = rows.select(*keep, "_cur", "_hist", sorted_median(F.col("_hist"), history, is_sorted=True).alias("_mid"))
+    devs = F.zip_with("_hist", F.array_repeat("_mid", history), lambda x, m: F.abs(x - m))
+    rows = rows.select(*keep, "_cur", "_mid", (sorted_median(devs, history) * 1.4826).alias("_scale"))
+    scale = F.col("_scale")
+    z = F.when(scale <= 1e-12, 0.0).otherwise((F.col("_cur") - F.col("_mid")) / F.when(scale > 1e-12, scale))
+    return rows.select(*keep, (z if history >= 20 else F.lit(None).cast("double")).alias(out))
 
 
 def breadth_marks(bars: DataFrame, ma: int, change: int) -> DataFrame:
@@ -226,18 +228,13 @@ def activity_marks(bars: DataFrame, history: int, signal: int) -> DataFrame:
     rows = rows.withColumn("_k", F.sum("_pos").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_n", F.row_number().over(w))
     last = Window.partitionBy("ticker").orderBy("_k").rangeBetween(-(history + signal - 1), 0)
-    dv = F.when(F.col("_pos") == 1, F.struct(F.col("_k"), F.col("_dv")))
+    entry = F.struct(F.col("_k"), F.col("_dv"), F.log(F.when(F.col("_pos") == 1, F.col("_dv"))).alias("_log"))
     ready = (F.col("_n") >= history + signal + 5) & (F.col("_k") >= history + signal)
-    lists = (
-        rows.select("ticker", "session", "_k", "_n", F.collect_list(dv).over(last).alias("_e"))
-        .select("ticker", "session", F.when(ready, F.sort_array("_e")["_dv"]).alias("_dvs"))
-    )
-    z = trailing_robust_z(F.transform("_dvs", lambda x: F.log(x)), history, signal)
-    five = sorted_median(F.slice("_dvs", -5, 5), 5)
-    return lists.select(
-        "ticker", "session",
-        F.when(F.col("_dvs").isNotNull(), z).alias("stock_z"), F.when(F.col("_dvs").isNotNull(), five).alias("recent_dv"),
-    )
+    lists = rows.select(
+        "ticker", "session", "_k", "_n", F.collect_list(F.when(F.col("_pos") == 1, entry)).over(last).alias("_raw")
+    ).select("ticker", "session", F.when(ready, F.sort_array("_raw")).alias("_e"))
+    lists = lists.select("ticker", "session", F.col("_e._log").alias("_logs"), sorted_median(F.slice(F.col("_e._dv"), -5, 5), 5).alias("recent_dv"))
+    return trailing_robust_z(lists, "_logs", history, signal, "stock_z").drop("_logs")
 
 
 def marks_at(marks: DataFrame, calendar: DataFrame) -> DataFrame:
