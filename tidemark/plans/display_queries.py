@@ -11,7 +11,7 @@ from tidemark.operators import setups as ST
 from tidemark.operators import themes as T
 from tidemark.plans import views as V
 from tidemark.plans.catalog import flat, query
-from tidemark.plans.theme_queries import _STRENGTH_VIEWS, _core, day
+from tidemark.plans.theme_queries import _S, _STRENGTH_VIEWS, _TURN, _core, day
 from tidemark.plans.views import r, sql_label, sql_piecewise, with_views
 
 NOW = "2001-06-06 12:00:00"
@@ -413,7 +413,28 @@ def important_changes(spark, d):
     return flat(out.select("ticker", "date", "code", "change_pct", "transition", "important"), 4)
 
 
-@query("theme_insight")
+_INSIGHT = {
+    **_TURN,
+    **_S,
+    "insight": """SELECT *, NOT insufficient AND en < total AS partial, state IS NOT NULL AND NOT confirmed AS changing, hot AND hot_eligible AND heat_n >= 3 AND heat_score IS NOT NULL AS is_hot,
+                         single_stock_driven AND heat_score IS NOT NULL AS conc
+                  FROM (SELECT x.theme_id, x.as_of, x.en, x.score_mode, x.score, f.state, f.confirmed, h.heat_score, h.heat_n, h.hot, h.hot_eligible, h.single_stock_driven,
+                               (SELECT count(*) FROM live_core l WHERE l.theme_id = x.theme_id AND l.as_of = x.as_of) AS total,
+                               x.en < CASE WHEN x.score_mode = 'ranked' THEN 4 ELSE 2 END OR x.score IS NULL AS insufficient,
+                               coalesce(t.eligible AND (t.pct <= 0.15 OR t.dd <= -0.25) AND t.moved AND t.wider AND t.since_low >= 5 AND NOT t.alone, FALSE) AS turning
+                        FROM s_strength_rows x JOIN fold f USING (theme_id, as_of) JOIN heat_flags h USING (theme_id, as_of) JOIN turning_rows t USING (theme_id, as_of))""",
+}
+
+
+@query("theme_insight", with_views(
+    f"""SELECT theme_id, {day('as_of')},
+               CASE WHEN insufficient THEN 'insufficient_data' WHEN conc THEN 'concentrated' WHEN is_hot AND changing THEN 'hot_changing' WHEN is_hot THEN 'hot' WHEN changing THEN 'changing'
+                    WHEN state = 'Weakening' THEN 'weakening' WHEN state = 'Lagging' THEN 'lagging' WHEN turning THEN 'turning' WHEN state = 'Improving' THEN 'improving'
+                    WHEN state = 'Leading' AND score >= 60 THEN 'leading' ELSE 'mixed' END AS title,
+               insufficient OR partial OR is_hot OR conc OR coalesce(state IN ('Weakening', 'Lagging'), FALSE) AS attention,
+               CASE WHEN insufficient THEN 'insufficient' WHEN partial THEN 'partial' WHEN score_mode = 'thin' THEN 'thin' ELSE 'full' END AS coverage_label FROM insight""",
+    _INSIGHT,
+))
 def theme_insight(spark, d):
     snap = T.theme_snapshot(
         V.themes(spark, d), V.memberships(spark, d), V.all_bars(spark, d),
