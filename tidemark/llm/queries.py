@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules, substring_dedup
+from tidemark.llm import quality_rules, simhash_dedup, substring_dedup, suffix_dedup
 from tidemark.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,15 @@ FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
 
 
 ORACLES["op7_host_rules"] = _op7_sql()
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
