@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html_text, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from tidemark.llm import decontamination, html_text, licenses, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, weak_labels
 from tidemark.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -112,3 +112,29 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+_NOTICE_ROWS = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.NOTICES)
+_PLAIN = """list_filter(regexp_split_to_array(translate(lower(coalesce({c}, '')), '.,;:!?"''()[]{{}}', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
+
+ORACLES["op10_licenses"] = f"""
+WITH n(license, notice) AS (VALUES {_NOTICE_ROWS}),
+nw AS (SELECT license, {_PLAIN.format(c="notice")} AS ws FROM n),
+ns AS (SELECT DISTINCT license, array_to_string(list_slice(ws, p, p + 2), ' ') AS g FROM (SELECT license, ws, unnest(range(1, len(ws) - 1)) AS p FROM nw)),
+sz AS (SELECT license, count(*) AS n_shingles, CASE WHEN count(*) <= 16 THEN 16 WHEN count(*) <= 64 THEN 64 ELSE 256 END AS step FROM ns GROUP BY license),
+k AS (SELECT license, g, n_shingles, step FROM ns JOIN sz USING (license)),
+dw AS (SELECT doc_id, {_PLAIN.format(c="text")} AS ws FROM documents),
+ds AS (SELECT doc_id, p - 1 AS pos, array_to_string(list_slice(ws, p, p + 2), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM dw WHERE len(ws) >= 3)),
+m AS (SELECT DISTINCT doc_id, license, n_shingles, g, pos // step - s AS win FROM ds JOIN k USING (g), (SELECT unnest([0, 1]) AS s)),
+c AS (SELECT doc_id, license, win, n_shingles, count(*) AS n FROM m GROUP BY ALL)
+SELECT doc_id, license, max(n)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles FROM c WHERE n >= 0.8 * n_shingles GROUP BY doc_id, license"""

@@ -35,32 +35,88 @@ def version(name: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for
+    themselves, the others for the code points from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in shown else next(other)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+_STOPS = ".,;:!?"
+
+
+class _Known(dict):
+    """Values of pieces; a piece asked for in vain is noted."""
+
+    def __init__(self):
+        self.new: dict = {}
+
+    def __missing__(self, piece):
+        self.new[piece] = None
+
+
 class Memo:
     """Encodes texts by pieces that the tokenizer never joins.
 
-    `pieces` splits a text, or gives None where only the whole text is safe to encode.
-    `value` turns the ids of a piece into what is kept for it.
+    `pieces` splits a text into hashable keys, or gives None where only the whole text is safe to
+    encode; `spell` turns a key into its text, and `value` the ids of that into what is kept.
     """
 
-    def __init__(self, name: str, pieces, value):
-        self.tokenizer, self.pieces, self.value = load(name), pieces, value
+    def __init__(self, name: str, pieces, spell, value):
+        self.tokenizer, self.pieces, self.spell, self.value = load(name), pieces, spell, value
+        self.model, self.stops = self.tokenizer.model, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, object] = {}
+        self.known = _Known()
 
     def _encode(self, texts: list[str]) -> list:
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain_word(self, text: str):
+        """Value of a word of Latin letters, with a space before it or full stops and the like after
+        it, straight from the library's model; None for any other piece.
+
+        Letters and such a run of stops are pieces of their own in the tokenizers' patterns.
+        """
+        core = text.rstrip(_STOPS)
+        word = core[1:] if core[:1] == " " else core
+        if not word.isalpha() or _PLAIN.search(word):
+            return None
+        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_LETTERS))]
+        end = text[len(core) :]
+        if end:
+            if end not in self.stops:
+                self.stops[end] = self.tokenizer.encode(end, add_special_tokens=False).ids
+            ids += self.stops[end]
+        return self.value(ids)
+
     def parts(self, texts: list[str]) -> list[list]:
         """Per text, the values of its pieces in order."""
-        split = [None if any(s in t for s in self.special) else self.pieces(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
-        new = list({p for s in split if s for p in s if p not in self.known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, self._encode(part)))
-        get = self.known.__getitem__
-        return [self._encode([t]) if s is None else list(map(get, s)) for t, s in zip(texts, split)]
+        get, new = self.known.__getitem__, self.known.new
+        out, again = [], []
+        for k, t in enumerate(texts):
+            keys = None if any(s in t for s in self.special) else self.pieces(t)
+            before = len(new)
+            out.append(self._encode([t]) if keys is None else list(map(get, keys)))
+            if keys is not None and (len(new) > before or None in out[-1]):
+                again.append((k, keys))
+        asked = []
+        for x in new:
+            value = self._plain_word(self.spell(x))
+            if value is None:
+                asked.append(x)
+            else:
+                self.known[x] = value
+        for k in range(0, len(asked), 20_000):
+            part = asked[k : k + 20_000]
+            self.known.update(zip(part, self._encode([self.spell(x) for x in part])))
+        new.clear()
+        for k, keys in again:
+            out[k] = list(map(get, keys))
+        return out
 
 
 #: Outside these characters Unicode tables of different libraries could differ: such texts are encoded whole.
@@ -73,15 +129,21 @@ def lower_words(text: str) -> list[str] | None:
     return None if _PLAIN.search(text) else text.lower().split()
 
 
-def spaced_words(text: str) -> list[str] | None:
-    """Pieces for byte-level pairs, where a space belongs to the word after it.
+def spaced_words(text: str) -> list | None:
+    """Pieces for byte-level pairs, where a space belongs to the word after it: words without
+    that space, and the first, which has none, in a tuple.
 
     A space inside a run of white space is not always a boundary: such texts are encoded whole.
     """
     if _RUN.search(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    words = text.split(" ")
+    words[0] = (words[0],)
+    return words
+
+
+def _with_space(key: str | tuple[str]) -> str:
+    return " " + key if isinstance(key, str) else key[0]
 
 
 _COUNTERS: dict[str, Memo] = {}
@@ -91,12 +153,12 @@ _ENCODERS: dict[str, Memo] = {}
 def count_tokens(name: str, texts: list[str]) -> list[int]:
     """Token counts by a tokenizer that lowers the case and drops white space."""
     if name not in _COUNTERS:
-        _COUNTERS[name] = Memo(name, lower_words, len)
+        _COUNTERS[name] = Memo(name, lower_words, str, len)
     return [sum(p) for p in _COUNTERS[name].parts(texts)]
 
 
 def byte_level_ids(name: str, texts: list[str]) -> list[bytes]:
     """Ids by a byte-level tokenizer, as little-endian unsigned 32-bit integers."""
     if name not in _ENCODERS:
-        _ENCODERS[name] = Memo(name, spaced_words, lambda ids: np.array(ids, "<u4").tobytes())
+        _ENCODERS[name] = Memo(name, spaced_words, _with_space, lambda ids: np.array(ids, "<u4").tobytes())
     return [b"".join(p) for p in _ENCODERS[name].parts(texts)]
