@@ -64,6 +64,20 @@ def _posting_masks(distance: int) -> list[int]:
     return masks
 
 
+def covering_masks() -> list[int]:
+    """Masks of 20 triples of byte positions such that any four positions hold one of them.
+
+    Turan's construction: positions in groups of 3, 3 and 2; the triples inside a group, and those
+    with two positions in a group and one in the next. Two fingerprints that share four bytes
+    then share a posting, at 20 postings each instead of 70, with keys of 24 bits.
+    """
+    groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    triples = [t for g in groups for t in combinations(g, 3)]
+    triples += [(*two, one) for k, g in enumerate(groups) for two in combinations(g, 2) for one in groups[(k + 1) % 3]]
+    masks = [sum(0xFF << (8 * p) for p in t) for t in triples]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
 def _links_small(fp: np.ndarray, group: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links inside groups of at most `most` members, by comparing at lags 1, 2, ..."""
     a, b = [], []
@@ -94,7 +108,7 @@ def _links_large(fp: np.ndarray, distance: int) -> tuple[list, list]:
     return a, b
 
 
-def links(prints: DataFrame, distance: int, large: int, scratch: Scratch) -> DataFrame:
+def links(prints: DataFrame, distance: int, large: int, scratch: Scratch, name: str = "links", masks: list[int] | None = None) -> DataFrame:
     """Edges (a, b) of signed fingerprints that keep every link's endpoints connected.
 
     `prints` has distinct fp. Inside a posting the members that share the guaranteed bytes are
@@ -159,11 +173,11 @@ def links(prints: DataFrame, distance: int, large: int, scratch: Scratch) -> Dat
         if held:
             yield from edges(held[0], held[1], held[2].view(np.uint64))
 
-    masks = F.array(*[F.lit(m).cast("long") for m in _posting_masks(distance)])
-    postings = prints.select("fp", F.posexplode(masks).alias("mask", "m")).select("mask", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
+    kept = F.array(*[F.lit(m).cast("long") for m in masks or _posting_masks(distance)])
+    postings = prints.select("fp", F.posexplode(kept).alias("mask", "m")).select("mask", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = postings.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(verify, "a long, b long")
-    return scratch.stage(found.distinct(), "links")
+    return scratch.stage(found.distinct(), name)
 
 
 def neighbour_links(prints: DataFrame, distance: int) -> DataFrame:
@@ -212,11 +226,102 @@ def near_duplicates(
     )
 
 
+def word_prints(text: bytes, many: int) -> list[int]:
+    """`many` independent SimHashes of the set of words of a UTF-8 text, as unsigned integers."""
+    words = set(text.lower().split())
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(many):
+        own = h * np.uint64(2 * 0x2545F4914F6CDD1D * k + 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+        own ^= own >> np.uint64(29)
+        own *= np.uint64(0xBF58476D1CE4E5B9)
+        own ^= own >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for s in range(0, len(own), _PIECE):
+            ones += np.unpackbits(own[s : s + _PIECE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big"))
+    return out
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Ascending distinct hashes of the word shingles; of the whole sequence where it is shorter."""
+    words = text.lower().split()
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*[words[j:] for j in range(shingle)]))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64))
+
+
+def similar_groups(
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    many: int = 4, large: int = LARGE_POSTING,
+) -> DataFrame:
+    """(doc_id, group): groups of documents linked by a similarity of their word shingles.
+
+    Fingerprints of word sets within four bits, in any of `many` independent ones, give the
+    candidates through the same index; a candidate is a link if the Jaccard similarity of the two
+    texts' `shingle`-word shingles is at least `similarity`. A group is named by its smallest id.
+    Equal texts form one class beforehand. Rows whose id is null are left out.
+    """
+    columns = [f"fp{k}" for k in range(many)]
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), *[(c, pa.int64()) for c in columns]])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for f in frames:
+                for i, t in zip(f.column("doc_id").to_pylist(), texts(f)):
+                    signed = np.array(word_prints(t, many), np.uint64).view(np.int64).tolist()
+                    yield i, xxhash.xxh3_128_digest(t), *signed
+
+        yield from batches(schema, rows())
+
+    mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    every = scratch.stage(mine.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} long" for c in columns)), "word-prints")
+    classes = scratch.stage(every.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in columns]), "classes")
+    candidates = None
+    for c in columns:
+        named = scratch.stage(classes.groupBy(F.col(c).alias("fp")).agg(F.min("rep").alias("low")), f"{c}-named")
+        found = links(named.select("fp"), 4, large, scratch, f"{c}-links", covering_masks())
+        crowded = scratch.stage(found.where("a = b").select(F.col("a").alias("fp")), f"{c}-crowded")
+        edges = found.where("a != b")
+        if not crowded.isEmpty():
+            edges = edges.unionByName(neighbour_links(crowded, 4))
+        ends = edges.join(named.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+        same = classes.select(F.col(c).alias("fp"), "rep").join(named, "fp").where("rep != low").select(F.col("rep").alias("x"), F.col("low").alias("y"))
+        both = ends.unionByName(same)
+        candidates = both if candidates is None else candidates.unionByName(both)
+    candidates = scratch.stage(candidates.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
+
+    def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            sets = [shingle_set(t, shingle).tobytes() for t in texts(f)]
+            yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+    asked = candidates.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = scratch.stage(mine.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for f in frames:
+                for x, y, p, q in zip(*[f.column(c).to_pylist() for c in ("x", "y", "p", "q")]):
+                    u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                    shared = len(np.intersect1d(u, v, assume_unique=True))
+                    if shared >= similarity * (len(u) + len(v) - shared):
+                        yield x, y
+
+        yield from batches(pair, rows())
+
+    tested = candidates.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("q")), "y")
+    roots = components(tested.mapInArrow(verified, "a long, b long"), scratch, "groups")
+    grouped = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group"))
+    return every.select("doc_id", "key").join(grouped, "key").select("doc_id", "group")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that name their class: one row of each group of near-duplicates.
+    """The rows of `docs` that name their group in `similar_groups`: one row of each group stays.
 
     Rows that repeat in every column count as one; rows whose id is null stay, as no id tells them apart.
     """
-    kept = near_duplicates(docs, id_col, text_col, **how).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi").distinct()
+    groups = similar_groups(docs, Scratch(docs.sparkSession, "similar"), id_col, text_col, **how)
+    kept = groups.where(F.col("doc_id") == F.col("group")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi").distinct()
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
