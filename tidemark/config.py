@@ -121,6 +121,5 @@ RVOL_ELEVATED = 1.0
 RANK_OFFSETS = (0, 1, 3, 5)
 HORIZONS = (5, 20, 60)
 BASIS = ("data_source", "adjustment_type", "split_adjusted", "dividend_adjusted", "price_basis")
-ARCHIVE_LIMIT = 3660
 FX_STALE_DAYS = 4
 SHRINK_FLOOR = 0.85

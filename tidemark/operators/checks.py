@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import ARCHIVE_LIMIT
 from tidemark.functions.scoring import is_finite, positive
 from tidemark.functions.validity import clean, japan_date
 from tidemark.operators.keyed import split_lag, union_all, violations
@@ -232,8 +231,8 @@ def check_calendar(sessions: DataFrame, closed: DataFrame, start: str, end: str)
     )
 
 
-def check_archive(archive: DataFrame, value: str = "close", limit: int = ARCHIVE_LIMIT) -> DataFrame:
-    """Series rules: known ticker form and currency, unique dates, positive values, bounded length."""
+def check_archive(archive: DataFrame, value: str = "close", limit: int | None = None) -> DataFrame:
+    """Series rules: known ticker form and currency, unique dates, positive values; with `limit`, bounded length."""
     key = F.concat_ws("|", "ticker", F.col("date").cast("string"))
     size = archive.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), (F.min("currency") != F.max("currency")).alias("mixed"))
     return union_all(
@@ -242,7 +241,7 @@ def check_archive(archive: DataFrame, value: str = "close", limit: int = ARCHIVE
             violations(archive, "currency", ~F.col("currency").isin(*CURRENCIES), key, F.col("currency")),
             violations(archive, "value", ~positive(F.col(value)), key, F.col(value)),
             duplicates(archive, "duplicate_date", key),
-            violations(size, "too_long", F.col("n") > limit, F.col("ticker"), F.col("n")),
+            violations(size, "too_long", F.col("n") > limit if limit else F.lit(False), F.col("ticker"), F.col("n")),
             violations(size, "mixed_currency", F.col("mixed"), F.col("ticker"), F.lit(None)),
         ]
     )

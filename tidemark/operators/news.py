@@ -114,9 +114,11 @@ def classify_event(articles: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def merge_articles(previous: DataFrame, fresh: DataFrame, now: Column, limit: int | None = 120) -> DataFrame:
+def merge_articles(previous: DataFrame, fresh: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """New over old by id keeping first-seen, 90-day window, newest per title, newest first.
 
+    `limit`, if given, keeps only that many of the newest.
+
     Both frames: id, title, published_at, source_id, first_seen_at. Groups of copies are reduced
     by aggregation, which combines before the shuffle.
     """
@@ -139,7 +141,7 @@ def feed_status(feeds: DataFrame) -> DataFrame:
     return feeds.agg(F.when(ok == n, "ok").when(ok > 0, "partial").otherwise("failed").alias("status"), n.alias("sources"), ok.alias("ok_sources"))
 
 
-def dedupe_articles(articles: DataFrame, max_rounds: int = 200) -> DataFrame:
+def dedupe_articles(articles: DataFrame) -> DataFrame:
     """Newest-first greedy de-duplication by link, exact title, and announcement variant.
 
     An article falls only to a *kept* newer one that shares a key. Each round keeps every open
@@ -164,7 +166,7 @@ def dedupe_articles(articles: DataFrame, max_rounds: int = 200) -> DataFrame:
     )
     open_rows = cut_lineage(keyed.select("id", "rank", F.explode("keys").alias("key"), F.size("keys").alias("n")))
     kept = None
-    for _ in range(max_rounds):
+    while True:  # each round decides at least the newest open article
         newest = open_rows.groupBy("key").agg(F.min("rank").alias("_first"))
         heads = open_rows.join(newest, "key").where(F.col("rank") == F.col("_first")).groupBy("id").agg(
             F.count(F.lit(1)).alias("_wins"), F.max("n").alias("n")
@@ -176,8 +178,6 @@ def dedupe_articles(articles: DataFrame, max_rounds: int = 200) -> DataFrame:
         open_rows = cut_lineage(open_rows.join(hit, "id", "left_anti"))
         if open_rows.isEmpty():
             break
-    else:
-        raise RuntimeError("de-duplication did not settle")
     return articles.join(kept, "id", "left_semi")
 
 
@@ -350,8 +350,8 @@ def symbol_search(listings: DataFrame, queries: DataFrame, k: int = 12) -> DataF
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).drop("_slice", "_r", "tier")
 
 
-def page_text(pages: DataFrame, minimum: int = 450, limit: int = 18000) -> DataFrame:
-    """Longest body of a page without scripts, navigation and the like; NULL with a reason otherwise."""
+def page_text(pages: DataFrame, minimum: int = 450) -> DataFrame:
+    """Longest body of a page, whole, without scripts, navigation and the like; NULL with a reason otherwise."""
     html = F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header|aside|form)\b.*?</\1\s*>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     blocks = F.concat(
@@ -361,5 +361,4 @@ def page_text(pages: DataFrame, minimum: int = 450, limit: int = 18000) -> DataF
     longest = F.aggregate("_blocks", F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     rows = rows.withColumn("_text", longest).drop("_blocks")
     bad = (F.length("_text") < minimum) | F.col("_text").rlike(BLOCKED_PAGE)
-    # The publishing limit is part of the feature; the checks above read the whole text.
-    return rows.withColumn("reason", F.when(bad, "article_body_unavailable")).withColumn("body", F.when(~bad, F.substring("_text", 1, limit))).drop("_text")
+    return rows.withColumn("reason", F.when(bad, "article_body_unavailable")).withColumn("body", F.when(~bad, F.col("_text"))).drop("_text")

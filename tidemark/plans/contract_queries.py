@@ -228,12 +228,12 @@ def check_holdings(spark, d):
 
 @query("check_ledgers", with_views(
     """SELECT 'flow_sign' AS rule, account_id || '|' || k AS key, 'deposit' AS detail FROM flow0 WHERE amount < 0
-       UNION ALL SELECT 'dividend_status', account_id || '|' || k, 'planned' FROM (SELECT o_custkey AS account_id, o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 11 = 0)""", _LEDGER))
+       UNION ALL SELECT 'dividend_status', account_id || '|' || k, 'planned' FROM (SELECT o_custkey AS account_id, o_orderkey AS k FROM orders WHERE o_orderkey % 11 = 0)""", _LEDGER))
 def check_ledgers(spark, d):
-    o = V.table(spark, d, "orders").where(F.col("o_orderkey") % 4 == 0)
+    o = V.table(spark, d, "orders")
     fl = o.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("flow_id"), F.to_date("o_orderdate").alias("date"), F.lit(None).cast("timestamp").alias("ts"),
                   F.when(F.col("o_orderpriority").startswith("1"), -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("amount_jpy"), F.lit("deposit").alias("type"))
-    k = V.table(spark, d, "orders").where(F.col("o_orderkey") % 5 == 0)
+    k = V.table(spark, d, "orders")
     dv = k.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("dividend_id"), (F.col("o_totalprice") / 1000).alias("net_amount"), F.lit(1.0).alias("fx"),
                   F.when(F.col("o_orderkey") % 11 == 0, "planned").otherwise("paid").alias("status"))
     sn = snapshots(spark, d).withColumn("allocation", F.array((F.col("assets_jpy") * 0.4), (F.col("assets_jpy") * 0.6)))
@@ -361,13 +361,13 @@ def complete_listing(spark, d):
     return RD.complete_listing(RD.normalize_listings(_listings(spark, d)), 500, "F7")
 
 
-@query("read_feed_xml", r"""SELECT source AS source_id, count(*) AS articles FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source <> 'src3') WHERE k <= 100 AND doc_id % 100 <= 90 GROUP BY 1""")
+@query("read_feed_xml", r"""SELECT source AS source_id, count(*) AS articles FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source <> 'src3') WHERE doc_id % 100 <= 90 GROUP BY 1""")
 def read_feed_xml(spark, d):
     """Feeds rendered from documents, one per source; one feed carries a document type and is refused."""
     doc, k = V.table(spark, d, "documents"), F.col("doc_id")
     at = F.to_timestamp(F.lit("2024-03-01 12:00:00")) - F.expr("make_dt_interval(cast(doc_id % 100 as int))")
     item = F.concat(
-        F.lit("<item><title><![CDATA["), F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 40), F.lit(" x]]></title><link>https://Feed.example.com/n/"), k.cast("string"), F.lit("?utm_source=rss</link><pubDate>"),
+        F.lit("<item><title><![CDATA["), F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(" x]]></title><link>https://Feed.example.com/n/"), k.cast("string"), F.lit("?utm_source=rss</link><pubDate>"),
         F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
     )
     per = doc.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(k, item.alias("x"))))["x"].alias("items"))
@@ -415,7 +415,7 @@ def merge_quotes(spark, d):
 
 _ARCHIVE_SQL = """SELECT ticker, CAST(date AS VARCHAR) AS date, {close} AS close FROM (
     SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM (
-      SELECT ticker, date, arg_max(close, v) AS close FROM ({rows}) GROUP BY 1, 2)) WHERE k <= 200"""
+      SELECT ticker, date, arg_max(close, v) AS close FROM ({rows}) GROUP BY 1, 2))"""
 
 
 def _versions(spark, d):
@@ -434,7 +434,7 @@ _VERS = "SELECT 'BR' || n AS ticker, session AS date, close * (1 + v / 100) AS c
 
 @query("replay_snapshots", with_views(_ARCHIVE_SQL.format(close=m("close"), rows=_VERS)))
 def replay_snapshots(spark, d):
-    out = SK.replay_snapshots(_versions(spark, d), F.to_date(F.lit("2001-06-01")), 200)
+    out = SK.replay_snapshots(_versions(spark, d), F.to_date(F.lit("2001-06-01")))
     return out.select("ticker", F.col("date").cast("string").alias("date"), money("close"))
 
 
@@ -443,7 +443,7 @@ def merge_price_archive(spark, d):
     """The first publication as archive, the later ones merged over it: the same result as a replay."""
     v = _versions(spark, d)
     first = v.where((F.col("version") == 1) & (F.col("as_of") < "2001-06-01")).select("ticker", F.col("as_of").alias("date"), F.col("price").alias("close"), "currency")
-    out = SK.merge_price_archive(first, v.where(F.col("version") > 1), F.to_date(F.lit("2001-06-01")), 200)
+    out = SK.merge_price_archive(first, v.where(F.col("version") > 1), F.to_date(F.lit("2001-06-01")))
     return out.select("ticker", F.col("date").cast("string").alias("date"), money("close"))
 
 

@@ -36,7 +36,7 @@ def sources(spark, d):
 def articles(spark, d):
     doc = V.table(spark, d, "documents")
     k = F.col("doc_id")
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
+    words = F.element_at(F.split("text", r"\n"), 1)
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (k % len(PREFIXES) + 1).cast("int"))
     n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     back = F.expr("make_dt_interval(cast(doc_id % 100 as int), cast(doc_id % 24 as int))")
@@ -69,7 +69,7 @@ _ID = "CASE WHEN n = 0 THEN 'micron' WHEN n = 1 THEN 'skhynix' WHEN n = 2 THEN '
 _NEWS = {
     "feeds": f"""SELECT {_ID} AS source_id, {_list(N.TOPIC_TICKERS)}[n % 6 + 1] AS topic, CASE WHEN n % 3 = 0 THEN ['MU'] WHEN n % 3 = 1 THEN ['NVDA', 'TSM'] ELSE CAST([] AS VARCHAR[]) END AS tickers,
                        n % 4 = 3 AS req FROM (SELECT DISTINCT source, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS n FROM documents)""",
-    "arts": f"""SELECT doc_id AS id, {_list(PREFIXES)}[doc_id % {len(PREFIXES)} + 1] || ' ' || regexp_replace(array_to_string(string_split_regex(text, '\\s+')[1:8], ' '), '[^A-Za-z0-9 ]', '', 'g') AS title,
+    "arts": f"""SELECT doc_id AS id, {_list(PREFIXES)}[doc_id % {len(PREFIXES)} + 1] || ' ' || regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z0-9 ]', '', 'g') AS title,
                       'https://news.example.com/a/' || doc_id % 300 || '?id=' || doc_id % 7 AS link, TIMESTAMP '{NOW}' - CAST(doc_id % 100 AS INT) * INTERVAL '1 day' - CAST(doc_id % 24 AS INT) * INTERVAL '1 hour' AS pub,
                       {_ID} AS source_id FROM (SELECT *, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS n FROM documents)""",
     "cls0": f"""SELECT a.*, f.tickers, coalesce({_first(N.TOPIC_WORDS, 'lower(title)')}, f.topic) AS topic, coalesce({_first(N.EVENT_WORDS, 'lower(title)')}, 'other') AS event, {_SUBJECTS} AS subjects
@@ -109,7 +109,7 @@ _MERGE = """SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY tk
             WHERE pub BETWEEN TIMESTAMP '2024-03-01 12:00:00' - INTERVAL '90 days' AND TIMESTAMP '2024-03-01 12:05:00') WHERE k = 1"""
 
 
-@query("merge_articles", with_views(_MERGE + " ORDER BY pub DESC, id DESC LIMIT 120", _NEWS))
+@query("merge_articles", with_views(_MERGE + "", _NEWS))
 def merge_articles(spark, d):
     a = articles(spark, d).drop("url")
     old = a.where(F.col("id") % 2 == 0).withColumn("title", F.concat(F.lit("old "), F.col("title")))
@@ -145,11 +145,11 @@ def relate_to_holdings(spark, d):
 
 
 @query("filter_articles", with_views(
-    """SELECT 'all' AS mode, count(*) AS n FROM cls UNION ALL SELECT 'mine', count(DISTINCT id) FROM pairs WHERE account_id < 10 UNION ALL SELECT 'MU', count(*) FROM cls WHERE list_contains(tickers, 'MU')
+    """SELECT 'all' AS mode, count(*) AS n FROM cls UNION ALL SELECT 'mine', count(DISTINCT id) FROM pairs UNION ALL SELECT 'MU', count(*) FROM cls WHERE list_contains(tickers, 'MU')
        UNION ALL SELECT 'memory', count(*) FROM cls WHERE topic = 'memory' OR list_contains(tickers, 'MU') UNION ALL SELECT 'optical', count(*) FROM cls WHERE topic = 'optical'""", _REL))
 def filter_articles(spark, d):
-    """Sizes of the views, one of them for the first ten accounts' tickers."""
-    a, own = _classified(spark, d), _own(spark, d).where(F.col("account_id") < 10)
+    """Sizes of the views, one of them for the tickers of all accounts."""
+    a, own = _classified(spark, d), _own(spark, d)
     out = None
     for mode in ("all", "mine", "MU", "memory", "optical"):
         one = N.filter_articles(a, _now(), mode, own).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
@@ -208,7 +208,7 @@ def summary_queue(spark, d):
 
 _SENT = {
     "raws": r"""SELECT doc_id, text, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS i,
-                       regexp_extract_all(lower(array_to_string(string_split_regex(text, '\s+')[1:8], ' ')), '[a-z]{4,}') AS tt FROM documents""",
+                       regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]{4,}') AS tt FROM documents""",
     "sents": rf"""SELECT doc_id, i, s, len(string_split(s, ' ')) AS w, len(list_filter(list_distinct(tt), lambda t: t NOT IN ('announces', 'company', 'corporation') AND contains(lower(s), t)))
                         + CASE WHEN regexp_matches(s, {_q(N.FACT_WORDS)}) THEN 4 ELSE 0 END + greatest(0.0, 4 - i / 3) AS sc
                  FROM (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS s FROM raws)""",
@@ -223,7 +223,7 @@ _SENT = {
     "SELECT doc_id, i FROM usable WHERE pos = 1 UNION ALL SELECT doc_id, m.i FROM second UNION ALL SELECT doc_id, m.i FROM third", _SENT))
 def rank_sentences(spark, d):
     doc = V.table(spark, d, "documents")
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
+    title = F.element_at(F.split("text", r"\n"), 1)
     return flat(N.rank_sentences(doc.select("doc_id", title.alias("title"), F.col("text").alias("body"))).select("doc_id", "i"))
 
 
@@ -268,7 +268,7 @@ def _stripped(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-@query("page_text", f"""SELECT page_id, CASE WHEN bad THEN 'article_body_unavailable' END AS reason, CASE WHEN bad THEN NULL ELSE md5(substr(t, 1, 18000)) END AS body_hash
+@query("page_text", f"""SELECT page_id, CASE WHEN bad THEN 'article_body_unavailable' END AS reason, CASE WHEN bad THEN NULL ELSE md5(t) END AS body_hash
   FROM (SELECT *, length(t) < 450 OR regexp_matches(t, {_q(N.BLOCKED_PAGE)}) AS bad FROM (
     SELECT page_id, coalesce((SELECT arg_max(s, (length(s), -k)) FROM (SELECT {_stripped('b')} AS s, k FROM (SELECT unnest(bs) AS b, generate_subscripts(bs, 1) AS k))), '') AS t FROM (
       SELECT page_id, list_concat(list_concat(regexp_extract_all(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), regexp_extract_all(h, '(?is)<main\\b[^>]*>(.*?)</main\\s*>', 1)),

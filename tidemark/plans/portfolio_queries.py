@@ -349,7 +349,7 @@ def flows(spark, d):
     k = F.col("o_orderkey")
     date = F.date_add(F.to_date("o_orderdate"), (k % 3).cast("int"))
     sign = F.when(F.col("o_orderpriority").startswith("1"), -1).otherwise(1)
-    return o.where(k % 4 == 0).select(
+    return o.select(
         F.col("o_custkey").alias("account_id"), date.alias("date"),
         F.when(k % 8 == 0, date.cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("ts"), (F.col("o_totalprice") * sign).alias("amount_jpy"),
     )
@@ -360,7 +360,7 @@ def dividends(spark, d):
     o = V.table(spark, d, "orders")
     k = F.col("o_orderkey")
     date = F.date_add(F.to_date("o_orderdate"), (k % 7).cast("int"))
-    return o.where(k % 5 == 0).select(
+    return o.select(
         F.col("o_custkey").alias("account_id"), date.alias("payment_date"),
         F.when(k % 2 == 0, date.cast("timestamp") + F.expr("INTERVAL 2 HOURS")).alias("ts"),
         (F.col("o_totalprice") / 1000).alias("net_amount"), F.when(k % 3 == 0, 150.0).otherwise(1.0).alias("fx"),
@@ -383,11 +383,11 @@ _LEDGER = {
     "valid": f"SELECT *, coalesce(ts, CAST(date AS TIMESTAMP) + {_EOD}) AS rt FROM snaps WHERE NOT bad",
     "iv": """SELECT *, lag(rt) OVER w AS lt, lag(date) OVER w AS pdate, lag(assets) OVER w AS passets FROM valid WINDOW w AS (PARTITION BY account_id ORDER BY rt)""",
     "flow0": """SELECT o_orderkey AS k, o_custkey AS account_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INT) AS date,
-                       o_totalprice * CASE WHEN o_orderpriority LIKE '1%' THEN -1 ELSE 1 END AS amount FROM orders WHERE o_orderkey % 4 = 0""",
+                       o_totalprice * CASE WHEN o_orderpriority LIKE '1%' THEN -1 ELSE 1 END AS amount FROM orders""",
     "flows": f"""SELECT account_id, amount, CASE WHEN k % 8 = 0 THEN CAST(date AS TIMESTAMP) + INTERVAL '3 hours' ELSE CAST(date AS TIMESTAMP) - INTERVAL '9 hours' END AS lo,
                         CASE WHEN k % 8 = 0 THEN CAST(date AS TIMESTAMP) + INTERVAL '3 hours' ELSE CAST(date AS TIMESTAMP) + {_EOD} END AS hi FROM flow0""",
     "div0": """SELECT o_orderkey AS k, o_custkey AS account_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INT) AS date,
-                      o_totalprice / 1000 * CASE WHEN o_orderkey % 3 = 0 THEN 150.0 ELSE 1.0 END AS amount FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0""",
+                      o_totalprice / 1000 * CASE WHEN o_orderkey % 3 = 0 THEN 150.0 ELSE 1.0 END AS amount FROM orders WHERE o_orderkey % 11 <> 0""",
     "divs": f"""SELECT account_id, amount, CASE WHEN k % 2 = 0 THEN CAST(date AS TIMESTAMP) + INTERVAL '2 hours' ELSE CAST(date AS TIMESTAMP) - INTERVAL '9 hours' END AS lo,
                        CASE WHEN k % 2 = 0 THEN CAST(date AS TIMESTAMP) + INTERVAL '2 hours' ELSE CAST(date AS TIMESTAMP) + {_EOD} END AS hi FROM div0""",
     "day_flows": """SELECT i.account_id, i.rt, sum(CASE WHEN f.lo > i.lt AND f.hi <= i.rt THEN f.amount END) AS net,

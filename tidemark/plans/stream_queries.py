@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +20,10 @@ from tidemark.streaming import streams as ST
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below the cluster's checkpoint folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

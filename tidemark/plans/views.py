@@ -287,10 +287,10 @@ def r(x: str, digits: int = 6) -> str:
 
 
 def m(x: str) -> str:
-    """Money for comparison: cents after a small nudge, so that exact half cents, which float
+    """Money for comparison: cents after a small nudge, so that exact half cents and fifth decimals, which float
     noise could push either way, round alike in both engines."""
-    return f"round({x} + 0.00123, 2) + 0.0"
+    return f"round({x} + 0.0012307, 2) + 0.0"
 
 
 def money(c: str):
-    return (F.round(F.col(c) + 0.00123, 2) + F.lit(0.0)).alias(c)
+    return (F.round(F.col(c) + 0.0012307, 2) + F.lit(0.0)).alias(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that also belong on a cluster: UTC, adaptive execution with skew-join splitting.
@@ -26,4 +28,6 @@ def local_session(cpus: str | int = 8, partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:  # one machine: any folder is shared
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark

@@ -11,12 +11,6 @@ from tidemark.functions.text import canonical_url, strip_html
 from tidemark.functions.validity import clean, parse_date, parse_utc
 from tidemark.operators.keyed import keep_latest
 
-# Columns of the configuration files.
-DIMENSIONS = {
-    "themes": "theme_id name family theme_class score_mode primary_benchmark secondary_benchmark status definition_version effective_from".split(),
-    "entities": "entity_id name ticker exchange asset_type status data_status ipo_date notes".split(),
-    "memberships": "theme_id entity_id ticker role purity effective_from effective_to change_reason notes".split(),
-}
 SYMBOL = r"^[A-Z0-9.^=-]{1,20}$"
 BAR_FIELDS = "array<struct<datetime:string,close:string,volume:string>>"
 PAYLOAD = f"status string, code string, meta struct<symbol:string,interval:string,currency:string,exchange:string>, values {BAR_FIELDS}"
@@ -167,15 +161,15 @@ def _unwrap(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
 
 
-def read_feed_xml(raw: DataFrame, now: Column, items: int = 100) -> DataFrame:
+def read_feed_xml(raw: DataFrame, now: Column, items: int | None = None) -> DataFrame:
     """RSS, Atom and RDF feeds (source_id, xml) to articles of the last 90 days.
 
-    At most `items` entries per feed are read, as a feed document is bounded; entity and
-    document-type declarations reject the whole feed.
+    All entries are read, or the first `items` if that is given; entity and document-type
+    declarations reject the whole feed.
     """
     safe = raw.where(~F.upper("xml").contains("<!DOCTYPE") & ~F.upper("xml").contains("<!ENTITY"))
     found = F.regexp_extract_all("xml", F.lit(r"(?is)<((?:[a-z0-9]+:)?(?:item|entry))\b[^>]*>.*?</\1\s*>"), F.lit(0))
-    rows = safe.select("source_id", F.posexplode(F.slice(found, 1, items)).alias("pos", "item"))
+    rows = safe.select("source_id", F.posexplode(F.slice(found, 1, items) if items else found).alias("pos", "item"))
     alternate = F.coalesce(
         F.nullif(F.regexp_extract("item", r'(?is)<link\b(?=[^>]*rel="alternate")[^>]*href="([^"]+)"', 1), F.lit("")),
         F.nullif(F.regexp_extract("item", r'(?is)<link\b(?![^>]*rel=)[^>]*href="([^"]+)"', 1), F.lit("")),
@@ -185,7 +179,7 @@ def read_feed_xml(raw: DataFrame, now: Column, items: int = 100) -> DataFrame:
     rfc = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(stamp, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
     zoned = F.when(stamp.rlike(r"T.*(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(stamp))
     out = rows.select(
-        "source_id", "pos", F.substring(strip_html(_unwrap(_field(F.col("item"), "title"))), 1, 500).alias("title"), canonical_url(link).alias("url"),
+        "source_id", "pos", strip_html(_unwrap(_field(F.col("item"), "title"))).alias("title"), canonical_url(link).alias("url"),
         F.coalesce(rfc, zoned).alias("published_at"),
     )
     window = F.col("published_at").between(now - F.expr("INTERVAL 90 DAYS"), now + F.expr("INTERVAL 5 MINUTES"))

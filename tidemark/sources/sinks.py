@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import ARCHIVE_LIMIT, SHRINK_FLOOR
+from tidemark.config import SHRINK_FLOOR
 from tidemark.functions.hashing import record_hash
 from tidemark.functions.scoring import positive, safe_div
 
@@ -68,11 +68,11 @@ def quote_coverage(quotes: DataFrame) -> DataFrame:
     return quotes.agg(F.count(F.when(F.col("quality") == "ok", 1)).alias("ok"), F.count(F.lit(1)).alias("total"))
 
 
-def merge_price_archive(archive: DataFrame, snapshots: DataFrame, today: Column, limit: int = ARCHIVE_LIMIT) -> DataFrame:
+def merge_price_archive(archive: DataFrame, snapshots: DataFrame, today: Column, limit: int | None = None) -> DataFrame:
     """Upsert reported closes by (ticker, date); the highest `version` wins; the archive's currency is kept.
 
     archive: ticker, date, close, currency. snapshots: version, ticker, as_of, price, currency,
-    quality. The newest `limit` dates of each ticker are kept.
+    quality. All dates are kept, or the newest `limit` of each ticker if that is given.
     """
     good = snapshots.where(
         F.col("ticker").rlike(TICKER) & (F.col("quality") == "ok") & (F.col("as_of") < today) & positive(F.col("price")) & F.col("currency").isin("USD", "JPY")
@@ -81,12 +81,14 @@ def merge_price_archive(archive: DataFrame, snapshots: DataFrame, today: Column,
     home = both.groupBy("ticker").agg(F.min_by("currency", F.struct("version", "date", "currency")).alias("_home"))
     kept = both.join(home, "ticker").where(F.col("currency") == F.col("_home"))
     rows = kept.groupBy("ticker", "date").agg(F.max_by(F.struct("close", "currency"), F.struct("version", "close")).alias("r")).select("ticker", "date", "r.*")
+    if limit is None:
+        return rows
     # One row per ticker and day is left: a ticker's window is bounded by its days.
     w = Window.partitionBy("ticker").orderBy(F.desc("date"))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
-def replay_snapshots(snapshots: DataFrame, today: Column, limit: int = ARCHIVE_LIMIT) -> DataFrame:
+def replay_snapshots(snapshots: DataFrame, today: Column, limit: int | None = None) -> DataFrame:
     """Rebuild the archive from the ordered series of past snapshots in one pass: last writer wins."""
     empty = snapshots.select("ticker", F.col("as_of").alias("date"), F.col("price").alias("close"), "currency").limit(0)
     return merge_price_archive(empty, snapshots, today, limit)
