@@ -35,7 +35,7 @@ def test_parsing_and_text(spark):
     lit = F.lit
     got = one(
         spark, VA.parse_date(lit("2026-09-08")), VA.parse_date(lit("2026-13-08")), VA.parse_utc(lit("2026-09-08T00:00:00+09:00")),
-        TX.canonical_url(lit("https://A.example.com/x/?utm_source=1&b=2&ref=z#top")), TX.canonical_url(lit("https://A.example.com/x/?ref=z"), client=True),
+        TX.canonical_url(lit("HTTPS://A.example.com/x/?utm_source=1&a=&b=2&ref=z#top")), TX.article_key(lit("https://A.example.com/x/?ref=z")),
         TX.canonical_url(lit("http://a.example.com/x")), TX.canonical_url(lit("https://u:p@a.example.com/x")),
         TX.title_key(lit("Ｍｕ Ｑ１!"), normalize=True), TX.search_key(lit("まいくろん ・-x")), TX.exposure(lit("NVDL")), TX.exposure(lit("MU")),
         TX.strip_html(lit("<p>a &amp;  <b>b</b></p>")),

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_core import fold_velocity
+from tidemark.functions import text as TX
 from tidemark.operators import news as N
 from tidemark.operators.checks import overlapping
 from tidemark.sources import readers as RD
@@ -52,6 +53,21 @@ def greedy(rows):
     return sorted(kept)
 
 
+def test_article_keys_keep_bare_parameters_and_any_scheme(spark):
+    links = ["http://x.example/p?1001", "https://X.example/p?1002", "http://x.example/p/?utm_a=1&1001#t", "https://x.example//", "https://x.example?gclid=1", "no link"]
+    got = [r["k"] for r in spark.createDataFrame(list(enumerate(links)), "i int, u string").select("i", TX.article_key(F.col("u")).alias("k")).orderBy("i").collect()]
+    assert got == ["http://x.example/p?1001", "https://x.example/p?1002", "http://x.example/p?1001", "https://x.example/", "https://x.example/", None]
+
+
+def test_dedupe_matches_links_and_titles_as_a_reader_sees_them(spark):
+    rows = [
+        (1, "First story", "http://x.example/p?1001", "a"), (2, "Second story", "http://x.example/p?1002", "a"), (3, "Other words", "http://x.example/p/?1001&utm_x=1", "b"),
+        (4, "ＡＩ memory", "https://x.example/q", "a"), (5, "AI memory", "https://x.example/r", "b"),
+    ]
+    df = spark.createDataFrame([(i, t, u, NOW - dt.timedelta(minutes=i), s) for i, t, u, s in rows], "id int, title string, url string, published_at timestamp, source_id string")
+    assert sorted(r["id"] for r in N.dedupe_articles(df).collect()) == [1, 2, 4]
+
+
 def test_dedupe_is_the_greedy_pass(spark):
     rng = random.Random(3)
     rows = [(i, f"Story {rng.randrange(40)}", f"https://a.example.com/{rng.randrange(40)}/?utm_x={i}", NOW - dt.timedelta(minutes=rng.randrange(300)), "s") for i in range(150)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import canonical_url, event_title, exposure, search_key, strip_html, title_key, title_numbers
+from tidemark.functions.text import article_key, event_title, exposure, search_key, strip_html, title_key, title_numbers
 from tidemark.operators.keyed import cut_lineage
 
 # Keyword filter and exclusion of feeds.
@@ -152,13 +152,13 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
 
     articles: id, title, url, published_at, source_id.
     """
-    link = F.coalesce(canonical_url(F.col("url"), client=True), F.col("id").cast("string"))
+    link = F.coalesce(article_key(F.col("url")), F.col("id").cast("string"))
     ev = event_title(F.col("title"))
     announce = F.when(
         (F.length(ev) >= 48) & F.col("source_id").isNotNull(),
         F.concat_ws("|", F.col("source_id"), F.to_date("published_at").cast("string"), ev, title_numbers(F.col("title"))),
     )
-    key = title_key(F.col("title"))
+    key = title_key(F.col("title"), normalize=True)
     rank = F.struct((-F.unix_micros("published_at")).alias("t"), F.col("id"))
     keyed = articles.select(
         "id", rank.alias("rank"),
@@ -222,7 +222,7 @@ def weekly_groups(articles: DataFrame, own: DataFrame, now: Column) -> DataFrame
 
 def novelty(articles: DataFrame, previous: DataFrame | None, checked_at: Column) -> DataFrame:
     """first_check, new, late_old, updated or known against the previous capture (key, version)."""
-    key = F.coalesce(canonical_url(F.col("url"), client=True), F.col("id").cast("string"))
+    key = F.coalesce(article_key(F.col("url")), F.col("id").cast("string"))
     rows = articles.withColumn("key", key)
     if previous is None:
         return rows.withColumn("novelty", F.lit("first_check"))

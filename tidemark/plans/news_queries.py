@@ -172,7 +172,7 @@ def weekly_groups(spark, d):
        FROM (SELECT a.*, title AS vn, p.v FROM arts a LEFT JOIN (SELECT link, max(CASE WHEN id % 4 = 0 THEN title || '!' ELSE title END) AS v FROM arts WHERE id % 3 = 0 GROUP BY 1) p USING (link))""", _NEWS))
 def novelty(spark, d):
     a = articles(spark, d).withColumn("version", F.col("title"))
-    key = TX.canonical_url(F.col("url"), client=True)
+    key = TX.article_key(F.col("url"))
     prev = a.where(F.col("id") % 3 == 0).groupBy(key.alias("key")).agg(F.max(F.when(F.col("id") % 4 == 0, F.concat("version", F.lit("!"))).otherwise(F.col("version"))).alias("version"))
     return N.novelty(a, prev, F.to_timestamp(F.lit("2024-02-01 00:00:00"))).select("id", "novelty")
 
@@ -278,8 +278,8 @@ def page_text(spark, d):
 
 
 @query("canonical_url", r"""SELECT page_id, CASE WHEN a <> '' AND NOT contains(a, '@') THEN 'https://' || lower(a) || regexp_replace(p, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS link
-  FROM (SELECT page_id, regexp_extract(u, '^https://([^/?#]*)', 1) AS a, regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1) AS p,
-               list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND contains(x, '=') AND NOT regexp_matches(x, '(?i)^(utm_.*|fbclid|gclid)(=|$)')) AS q FROM (SELECT page_id, trim(url) AS u FROM pages))""")
+  FROM (SELECT page_id, regexp_extract(u, '(?i)^https://([^/?#]*)', 1) AS a, regexp_extract(u, '(?i)^https://[^/?#]*([^?#]*)', 1) AS p,
+               list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '=.') AND NOT regexp_matches(x, '(?i)^(utm_.*|fbclid|gclid)(=|$)')) AS q FROM (SELECT page_id, trim(url) AS u FROM pages))""")
 def canonical_url(spark, d):
     return V.table(spark, d, "pages").select("page_id", TX.canonical_url(F.col("url")).alias("link"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import config as C
-from tidemark.functions.text import canonical_url
+from tidemark.functions.text import article_key
 from tidemark.functions.validity import japan_date
 
 
@@ -53,7 +53,7 @@ def session_activity(events: DataFrame, gap: str, delay: str) -> DataFrame:
 
 def stream_dedupe_news(articles: DataFrame, delay: str = "90 days") -> DataFrame:
     """First-seen article per link within the horizon."""
-    key = F.coalesce(canonical_url(F.col("url"), client=True), F.col("id").cast("string"))
+    key = F.coalesce(article_key(F.col("url")), F.col("id").cast("string"))
     return articles.withColumn("key", key).withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["key"])
 
 
