@@ -276,18 +276,17 @@ def similar_groups(
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     every = scratch.stage(mine.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} long" for c in columns)), "word-prints")
     classes = scratch.stage(every.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in columns]), "classes")
-    candidates = None
-    for c in columns:
-        named = scratch.stage(classes.groupBy(F.col(c).alias("fp")).agg(F.min("rep").alias("low")), f"{c}-named")
-        found = links(named.select("fp"), 4, large, scratch, f"{c}-links", covering_masks())
-        crowded = scratch.stage(found.where("a = b").select(F.col("a").alias("fp")), f"{c}-crowded")
-        edges = found.where("a != b")
-        if not crowded.isEmpty():
-            edges = edges.unionByName(neighbour_links(crowded, 4))
-        ends = edges.join(named.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-        same = classes.select(F.col(c).alias("fp"), "rep").join(named, "fp").where("rep != low").select(F.col("rep").alias("x"), F.col("low").alias("y"))
-        both = ends.unionByName(same)
-        candidates = both if candidates is None else candidates.unionByName(both)
+    # One index for all prints: a link between two different ones is a candidate that fails the test.
+    each = classes.select("rep", F.explode(F.array(*columns)).alias("fp"))
+    named = scratch.stage(each.groupBy("fp").agg(F.min("rep").alias("low")), "named")
+    found = links(named.select("fp"), 4, large, scratch, "links", covering_masks())
+    crowded = found.where("a = b").select(F.col("a").alias("fp"))
+    edges = found.where("a != b")
+    if not crowded.isEmpty():
+        edges = edges.unionByName(neighbour_links(crowded, 4))
+    ends = edges.join(named.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    same = each.join(named, "fp").where("rep != low").select(F.col("rep").alias("x"), F.col("low").alias("y"))
+    candidates = ends.unionByName(same).where("x != y")
     candidates = scratch.stage(candidates.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
 
     def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
