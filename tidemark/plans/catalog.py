@@ -51,5 +51,5 @@ def load() -> None:
     """Import every module that registers queries."""
     from importlib import import_module
 
-    for m in ("theme_queries", "display_queries", "portfolio_queries", "research_queries", "news_queries", "contract_queries", "stream_queries"):
+    for m in ("theme_queries", "display_queries", "portfolio_queries", "research_queries", "news_queries", "contract_queries", "stream_queries", "source_queries"):
         import_module(f"tidemark.plans.{m}")

@@ -18,7 +18,7 @@ PAYLOAD = f"status string, code string, meta struct<symbol:string,interval:strin
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, every value trimmed, blank as NULL; a byte-order mark is tolerated."""
-    raw = spark.read.csv(path, header=True)
+    raw = spark.read.csv(path, header=True, escape='"')
     cols = [clean(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip()) for c in raw.columns]
     out = raw.select(*cols)
     for c in ("effective_from", "effective_to"):
@@ -205,7 +205,7 @@ def read_ledger_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Strict ledger file: exact header, readable amount, full rows; anything else fails the read."""
     layout = LEDGER_LAYOUTS[kind]
     names = [c.strip().split()[0] for c in layout.split(",")]
-    raw = spark.read.csv(path, header=True, schema=layout, enforceSchema=False, mode="FAILFAST")
+    raw = spark.read.csv(path, header=True, schema=layout, enforceSchema=False, mode="FAILFAST", escape='"')
     amount = "assets_jpy" if kind == "snapshots" else "amount_jpy"
     value = finite(clean(F.col(amount)).try_cast("double"))
     checked = F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("unreadable amount: "), F.coalesce(F.col(amount), F.lit("")))).cast("double"))
