@@ -155,5 +155,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     rows = docs.select(
         own.alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("_text")
     )
-    judged = _verdicts(mark_failed_hosts(document_metrics(rows, "_text"), hosts))
-    return judged.where("kept").select("_row.*")
+    # A filter is not pushed below a row number. Pushed down, it would repeat each array's expression
+    # in place of the array, once per element.
+    numbered = document_metrics(rows, "_text").withColumn("_number", F.monotonically_increasing_id())
+    judged = _verdicts(mark_failed_hosts(numbered, hosts))
+    return judged.where(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
