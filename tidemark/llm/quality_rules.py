@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     scratch = Scratch(docs.sparkSession, "quality")
     small = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("_text"))
-    hosts = host_table(document_metrics(small, "_text").drop("_text"), scratch)
+    hosts = host_table(scratch.stage(document_metrics(small, "_text").drop("_text"), "metrics"), scratch)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         own.alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("_text")
