@@ -176,6 +176,31 @@ def test_one_row_of_each_similar_group_stays(spark, docs, none):
     assert simhash_dedup.keep_one(none).count() == 0
 
 
+def similar_by_all_pairs(texts):
+    """Groups over every pair of texts at a five-word Jaccard similarity of 0.8."""
+    sets = [set(simhash_dedup.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    alike = [(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return alike, groups_of(alike, range(len(sets)))
+
+
+def similar_by_operator(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return dict(simhash_dedup.similar_groups(df, Scratch(spark, "t")).collect())
+
+
+def test_copies_with_added_cut_and_replaced_blocks_are_found(spark):
+    r = random.Random(5)
+    say = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for k in range(40):
+        base = say(200)
+        edits = [base + say(44), say(40) + base, base[:165], base[35:], base[:90] + say(15) + base[105:], base[:60] + say(30) + base[60:]]
+        texts += [base, edits[k % 6]]
+    alike, want = similar_by_all_pairs([" ".join(t) for t in texts])
+    assert len(alike) == 40
+    assert similar_by_operator(spark, [" ".join(t) for t in texts]) == want
+
+
 def test_quality_counts_and_verdicts(spark, docs, none):
     def plain(text):
         text = text or ""

@@ -9,6 +9,7 @@ at once, so that a shared posting already is the guaranteed number of matches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -226,21 +227,16 @@ def near_duplicates(
     )
 
 
-def word_prints(text: bytes, many: int) -> list[int]:
-    """`many` independent SimHashes of the set of words of a UTF-8 text, as unsigned integers."""
-    words = set(text.lower().split())
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    out = []
-    for k in range(many):
-        own = h * np.uint64(2 * 0x2545F4914F6CDD1D * k + 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+def minhash_bands(shingles: np.ndarray, rows: int, bands: int) -> list[int]:
+    """One signed key per band: a hash of the band's number and of its `rows` least values."""
+    least = np.empty(rows * bands, np.uint64)
+    for k in range(rows * bands):
+        own = shingles * np.uint64(2 * 0x2545F4914F6CDD1D * k + 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
         own ^= own >> np.uint64(29)
         own *= np.uint64(0xBF58476D1CE4E5B9)
-        own ^= own >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for s in range(0, len(own), _PIECE):
-            ones += np.unpackbits(own[s : s + _PIECE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big"))
-    return out
+        least[k] = (own ^ own >> np.uint64(32)).min()
+    keys = [xxhash.xxh3_64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -251,55 +247,47 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def similar_groups(
-    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    many: int = 4, large: int = LARGE_POSTING,
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rows: int = 5, miss: float = 1e-4,
 ) -> DataFrame:
     """(doc_id, group): groups of documents linked by a similarity of their word shingles.
 
-    Fingerprints of word sets within four bits, in any of `many` independent ones, give the
-    candidates through the same index; a candidate is a link if the Jaccard similarity of the two
-    texts' `shingle`-word shingles is at least `similarity`. A group is named by its smallest id.
-    Equal texts form one class beforehand. Rows whose id is null are left out.
+    Two documents are a candidate if all `rows` MinHashes of a band are equal; there are as many
+    bands as leave a pair at exactly `similarity` unseen with probability `miss`. A candidate is a
+    link if the Jaccard similarity of the two texts' `shingle`-word shingles is at least
+    `similarity`. In a posting (the members of one band key) up to four members are each tested
+    against all others. A group is named by its smallest id.
+    Texts of equal shingles form one class beforehand. Rows whose id is null are left out.
     """
-    columns = [f"fp{k}" for k in range(many)]
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), *[(c, pa.int64()) for c in columns]])
+    bands = math.ceil(math.log(miss) / math.log(1 - similarity**rows))
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def found() -> Iterator[tuple]:
             for f in frames:
                 for i, t in zip(f.column("doc_id").to_pylist(), texts(f)):
-                    signed = np.array(word_prints(t, many), np.uint64).view(np.int64).tolist()
-                    yield i, xxhash.xxh3_128_digest(t), *signed
+                    own = shingle_set(t, shingle)
+                    yield i, xxhash.xxh3_128_digest(own.tobytes()), minhash_bands(own, rows, bands)
 
-        yield from batches(schema, rows())
+        yield from batches(schema, found())
 
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    every = scratch.stage(mine.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} long" for c in columns)), "word-prints")
-    classes = scratch.stage(every.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in columns]), "classes")
-    # One index for all prints: a link between two different ones is a candidate that fails the test.
-    each = classes.select("rep", F.explode(F.array(*columns)).alias("fp"))
-    named = scratch.stage(each.groupBy("fp").agg(F.min("rep").alias("low")), "named")
-    found = links(named.select("fp"), 4, large, scratch, "links", covering_masks())
-    crowded = found.where("a = b").select(F.col("a").alias("fp"))
-    edges = found.where("a != b")
-    if not crowded.isEmpty():
-        edges = edges.unionByName(neighbour_links(crowded, 4))
-    ends = edges.join(named.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    same = each.join(named, "fp").where("rep != low").select(F.col("rep").alias("x"), F.col("low").alias("y"))
-    candidates = ends.unionByName(same).where("x != y")
-    candidates = scratch.stage(candidates.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
+    every = scratch.stage(mine.mapInArrow(run, "doc_id long, class binary, bands array<long>"), "bands")
+    classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    each = classes.select("rep", F.explode("bands").alias("key"))
+    met = each.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("key")
+    postings = scratch.stage(each.join(met, "key").select("key", "rep", F.col("rep").alias("group")), "postings-0")
 
     def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             sets = [shingle_set(t, shingle).tobytes() for t in texts(f)]
             yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    asked = candidates.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    asked = postings.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.stage(mine.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def found() -> Iterator[tuple]:
             for f in frames:
                 for x, y, p, q in zip(*[f.column(c).to_pylist() for c in ("x", "y", "p", "q")]):
                     u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -307,12 +295,38 @@ def similar_groups(
                     if shared >= similarity * (len(u) + len(v) - shared):
                         yield x, y
 
-        yield from batches(pair, rows())
+        yield from batches(pair, found())
 
-    tested = candidates.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("q")), "y")
-    roots = components(tested.mapInArrow(verified, "a long, b long"), scratch, "groups")
-    grouped = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group"))
-    return every.select("doc_id", "key").join(grouped, "key").select("doc_id", "group")
+    first, second = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("p")), sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("q"))
+    tried = edges = roots = None
+    k = 0
+    while True:
+        counts = postings.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+        split = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        live = scratch.stage(postings.join(split.select("key", F.col("most.group").alias("main")), "key"), f"live-{k}")
+        if live.isEmpty():
+            break
+        # Testers: at most 4, 32, 256, ... members outside the largest group of each posting.
+        mixed = F.xxhash64("rep", F.lit(k))
+        drawn = live.where("group != main").groupBy("key", F.pmod(mixed, F.lit(4 * 8 ** min(k, 16))).alias("place"))
+        testers = scratch.stage(drawn.agg(F.min(F.struct(mixed.alias("h"), F.col("rep"), F.col("group"))).alias("t")).select("key", F.col("t.rep").alias("tester"), F.col("t.group").alias("own")), f"testers-{k}")
+        met = live.join(testers, "key").where("group != own")
+        pairs = met.select(F.greatest("rep", "tester").alias("x"), F.least("rep", "tester").alias("y")).distinct()
+        pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = scratch.stage(pairs.join(first, "x").join(second, "y").mapInArrow(verified, "a long, b long"), f"linked-{k}")
+        edges = linked if edges is None else edges.unionByName(linked)
+        roots = components(edges, scratch, f"groups-{k}")
+        rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+        rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"))
+        break  # one round of testers
+        k += 1
+        postings = scratch.stage(rest, f"postings-{k}")
+        scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
+    if roots is None:
+        return every.join(classes.select("class", F.col("rep").alias("group")), "class").select("doc_id", "group")
+    grouped = classes.select("class", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("root", "rep").alias("group"))
+    return every.select("doc_id", "class").join(grouped, "class").select("doc_id", "group")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
