@@ -183,9 +183,9 @@ def similar_by_all_pairs(texts):
     return alike, groups_of(alike, range(len(sets)))
 
 
-def similar_by_operator(spark, texts):
+def similar_by_operator(spark, texts, **how):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return dict(simhash_dedup.similar_groups(df, Scratch(spark, "t")).collect())
+    return dict(simhash_dedup.similar_groups(df, Scratch(spark, "t"), **how).collect())
 
 
 def test_copies_with_added_cut_and_replaced_blocks_are_found(spark):
@@ -201,6 +201,32 @@ def test_copies_with_added_cut_and_replaced_blocks_are_found(spark):
     assert similar_by_operator(spark, [" ".join(t) for t in texts]) == want
 
 
+def test_pairs_inside_a_family_of_pages_are_all_tested(spark):
+    r = random.Random(6)
+    say = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    frame, texts = say(120), []
+    for _ in range(40):  # pairs at 0.98 in a family at 0.65
+        page = frame + say(30)
+        texts += [page, page[:-1] + say(1)]
+    r.shuffle(texts)
+    alike, want = similar_by_all_pairs([" ".join(t) for t in texts])
+    assert len(alike) == 40
+    # One hash a band: most of the family shares every posting, and each takes several rounds.
+    assert similar_by_operator(spark, [" ".join(t) for t in texts], rows=1) == want
+
+
+def test_pairs_among_pages_of_the_same_words_are_found(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for _ in range(20):
+        page = r.sample(words, len(words))
+        texts += [page, page[:70] + page[71:]]
+    alike, want = similar_by_all_pairs([" ".join(t) for t in texts])
+    assert len(alike) == 20
+    assert similar_by_operator(spark, [" ".join(t) for t in texts]) == want
+
+
 def test_quality_counts_and_verdicts(spark, docs, none):
     def plain(text):
         text = text or ""

@@ -254,8 +254,10 @@ def similar_groups(
     Two documents are a candidate if all `rows` MinHashes of a band are equal; there are as many
     bands as leave a pair at exactly `similarity` unseen with probability `miss`. A candidate is a
     link if the Jaccard similarity of the two texts' `shingle`-word shingles is at least
-    `similarity`. In a posting (the members of one band key) up to four members are each tested
-    against all others. A group is named by its smallest id.
+    `similarity`. A posting (the members of one band key) is tested in rounds: its largest group so
+    far is set apart, some of the other members are each tested against all members of other
+    groups and then leave it, more of them every round, until one group is left. So every pair of
+    a posting is tested or its ends are in one group already. A group is named by its smallest id.
     Texts of equal shingles form one class beforehand. Rows whose id is null are left out.
     """
     bands = math.ceil(math.log(miss) / math.log(1 - similarity**rows))
@@ -319,7 +321,6 @@ def similar_groups(
         roots = components(edges, scratch, f"groups-{k}")
         rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
         rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"))
-        break  # one round of testers
         k += 1
         postings = scratch.stage(rest, f"postings-{k}")
         scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
