@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -331,6 +332,22 @@ def test_article_text(page):
     assert html_text.main_text(page) == TEXT
 
 
+SAYS = lambda n: f"<p>{'word ' * (n // 5)}</p>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<article>{SAYS(300)}<ul>{'<li>' + 'item ' * 68 + '</li>'}{'<li>' + 'item ' * 68 + '</li>'}{'<li>' + 'item ' * 68 + '</li>'}</ul>{SAYS(300)}</article>",
+    f"<div>{SAYS(300)}<blockquote>{SAYS(350) * 3}</blockquote>{SAYS(300)}</div>",
+    f"<article><h1>Headline</h1><div class=body>{SAYS(300) * 3}</div></article>",
+    f"<div><h1>Headline</h1><div class=body>{SAYS(300) * 3}</div></div>",
+    f"<div><section>{SAYS(300) * 4}</section><section>{SAYS(300) * 2}</section></div>",
+    f"<main><section><h2>One</h2>{SAYS(300) * 4}</section><section><h2>Two</h2>{SAYS(300) * 2}</section></main>",
+])
+def test_article_with_lists_sections_and_headline_is_whole(body):
+    plain = " ".join(re.sub(r"<[^>]*>", " ", body).split())
+    assert html_text.main_text(f"<body><nav><a href=x>menu</a></nav>{body}<footer>Imprint</footer></body>") == plain
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (None, "u", "plain words only", 1), (3, "u", "<p>" + "long " * 50_000, 1), (4, "u", "<nav>only menu", 1), (4, "u", "<nav>only menu", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")

@@ -37,6 +37,8 @@ NAMES = re.compile(
     re.I,
 )
 CONTENT = frozenset(["article", "main"])
+#: Articles of a page that hold less than this part of the largest one's marked text are teasers.
+TEASER = 0.2
 _CLOSED_BY_BLOCK = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"])
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -48,6 +50,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, dropped, number
+        self.tag: dict[int, str] = {}  # of the open blocks' numbers that count: article, main and h1
         self.number = self.tags = self.linked = self.depth = self.anchors = 0
         self.parts: list[str] = []
 
@@ -98,6 +101,8 @@ class _Lines(HTMLParser):
                     break
         dropped = self._unwanted(tag, attrs)
         self.number += 1
+        if tag in CONTENT or tag == "h1":
+            self.tag[self.number] = tag
         self.depth += dropped
         self.anchors += tag == "a"
         self.open.append((tag, dropped, self.number))
@@ -141,11 +146,14 @@ def threshold(values: np.ndarray) -> float:
     return low
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.6) -> str:
+def main_text(html: str, sigma: float = 1.0, share: float = 0.6, whole: float = 0.95) -> str:
     """The article text of a page; empty if there is none.
 
-    From the page's root the walk goes down into the element that holds at least `share` of the
-    marked text. Lines there that are mostly links and not marked are left out.
+    If the outermost article and main elements hold at least `share` of the marked text, they are
+    the region, without those that are teasers beside the largest. Else the walk from the page's
+    root goes down as long as one element holds `whole` of the marked text, so that an article's
+    lists, quotes and sections stay together. A region without an h1 takes the h1 before it.
+    Lines there that are mostly links and not marked are left out.
     """
     parser = _Lines()
     parser.feed(html)
@@ -157,19 +165,32 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.6) -> str:
     level = smooth(ratio, sigma)
     marked = level >= min(threshold(level), level.max())
     weight = np.where(marked, [len(t) for t, *_ in lines], 0)
-    inside = np.ones(len(lines), bool)
-    depth = 0
-    while True:
-        held: dict[int, int] = {}
-        for k in np.flatnonzero(inside).tolist():
-            path = lines[k][3]
-            if len(path) > depth:
-                held[path[depth]] = held.get(path[depth], 0) + int(weight[k])
-        best = max(held, key=held.get, default=None)
-        below = np.array([best is not None and len(p) > depth and p[depth] == best for *_, p in lines]) & inside
-        if best is None or below.sum() < 2 or held[best] < share * weight[inside].sum():
-            break
-        inside, depth = below, depth + 1
+    outer = [next((n for n in path if parser.tag.get(n) in CONTENT), None) for *_, path in lines]
+    held: dict[int, int] = {}
+    for n, w in zip(outer, weight.tolist()):
+        if n is not None:
+            held[n] = held.get(n, 0) + w
+    if held and sum(held.values()) >= share * weight.sum():
+        inside = np.array([n is not None and held[n] >= TEASER * max(held.values()) for n in outer])
+    else:
+        inside = np.ones(len(lines), bool)
+        depth = 0
+        while True:
+            held = {}
+            for k in np.flatnonzero(inside).tolist():
+                path = lines[k][3]
+                if len(path) > depth:
+                    held[path[depth]] = held.get(path[depth], 0) + int(weight[k])
+            best = max(held, key=held.get, default=None)
+            below = np.array([best is not None and len(p) > depth and p[depth] == best for *_, p in lines]) & inside
+            if best is None or below.sum() < 2 or held[best] < whole * weight[inside].sum():
+                break
+            inside, depth = below, depth + 1
+    titles = [k for k, (*_, path) in enumerate(lines) if any(parser.tag.get(n) == "h1" for n in path)]
+    first = int(np.argmax(inside))
+    if not any(inside[k] for k in titles):
+        before = [k for k in titles if k < first]
+        inside[before[-1:]] = True
     return " ".join(t for k, (t, _, linked, _) in enumerate(lines) if inside[k] and (marked[k] or 2 * linked <= len(t)))
 
 
