@@ -348,6 +348,15 @@ def test_article_with_lists_sections_and_headline_is_whole(body):
     assert html_text.main_text(f"<body><nav><a href=x>menu</a></nav>{body}<footer>Imprint</footer></body>") == plain
 
 
+@pytest.mark.parametrize("opening", [
+    "<div class='content-sidebar-wrap'>", "<main class='no-sidebar'>", "<article class='post comments-open'>", "<div id=page class='has-header'>", "<div class='side-by-side'>",
+])
+def test_wrappers_named_like_other_parts_keep_the_article(opening):
+    closing = f"</{opening[1:].split()[0]}>"
+    page = f"<body>{opening}<h1>Headline</h1>{SAYS(300) * 3}<section class='related-work'><h2>Other work</h2>{SAYS(200)}</section><div class='comments'>{SAYS(250)}</div>{closing}</body>"
+    assert html_text.main_text(page) == " ".join(["Headline"] + ["word"] * 180 + ["Other work"] + ["word"] * 40)
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (None, "u", "plain words only", 1), (3, "u", "<p>" + "long " * 50_000, 1), (4, "u", "<nav>only menu", 1), (4, "u", "<nav>only menu", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")

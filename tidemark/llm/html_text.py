@@ -31,12 +31,15 @@ DROPPED = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 #: Words in a class or id that name such parts.
 NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promo(?:tions?)?|sidebars?|side|widgets?|related|recommended|"
+    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promo(?:tions?)?|sidebars?|widgets?|related[-_](?:posts?|articles?|stories|links|news|content|items|reading|topics)|recommended|"
     r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|commentlist|respond|replies|disqus|"
-    r"cookies?|consent|gdpr|notices?|notifications?|alerts?|banners?|popups?|modals?|overlay|newsletter|subscribe|signup|login|share|sharing|social|toolbar|skip)(?:$|[-_\s\d])",
+    r"cookies?|consent|gdpr|notices?|notifications?|alerts?|banners?|popups?|modals?|overlay|newsletter|subscribe|signup|login|share|sharing|social|toolbar|skip)(?:$|[-_\s\d])"
+    r"|(?:^|\s)(?:side|related)(?:$|\s)",
     re.I,
 )
 CONTENT = frozenset(["article", "main"])
+#: A part is only named away if it holds at most this share of the page's text.
+NAMED_SHARE = 0.5
 #: Articles of a page that hold less than this part of the largest one's marked text are teasers.
 TEASER = 0.2
 _CLOSED_BY_BLOCK = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"])
@@ -51,6 +54,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, dropped, number
         self.tag: dict[int, str] = {}  # of the open blocks' numbers that count: article, main and h1
+        self.named: set[int] = set()  # numbers of the blocks that NAMES would drop
         self.number = self.tags = self.linked = self.depth = self.anchors = 0
         self.parts: list[str] = []
 
@@ -69,7 +73,7 @@ class _Lines(HTMLParser):
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if value and (
-                (name in ("class", "id") and tag not in ("html", "body") and NAMES.search(value))
+                (name in ("class", "id") and tag in INLINE and NAMES.search(value))
                 or (name == "role" and value.lower() in ROLES)
                 or (name == "style" and _HIDDEN.search(value))
             ):
@@ -103,6 +107,8 @@ class _Lines(HTMLParser):
         self.number += 1
         if tag in CONTENT or tag == "h1":
             self.tag[self.number] = tag
+        if tag not in INLINE and tag not in ("html", "body") and any(v and n in ("class", "id") and NAMES.search(v) for n, v in attrs):
+            self.named.add(self.number)
         self.depth += dropped
         self.anchors += tag == "a"
         self.open.append((tag, dropped, self.number))
@@ -146,6 +152,35 @@ def threshold(values: np.ndarray) -> float:
     return low
 
 
+def without_named_parts(parser: _Lines) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """The lines outside blocks whose name says they are not article text.
+
+    A name alone does not drop a block with over NAMED_SHARE of the page's text, nor one that
+    is or holds the page's main element, its largest article or an h1.
+    """
+    lines = parser.lines
+    if not parser.named:
+        return lines
+    held: dict[int, int] = {}
+    for text, _, _, path in lines:
+        for n in path:
+            held[n] = held.get(n, 0) + len(text)
+    articles = [n for n, tag in parser.tag.items() if tag == "article" and n in held]
+    largest = max(articles, key=held.get, default=None)
+    whole = {n for n in held if parser.tag.get(n) in ("main", "h1")} | {largest}
+    safe = {n for *_, path in lines for k, n in enumerate(path) if n in parser.named and whole & set(path[k:])}
+    total = sum(len(t) for t, *_ in lines)
+    dropped = {n for n in parser.named if n not in safe and held.get(n, 0) <= NAMED_SHARE * total}
+    kept, tags = [], 0
+    for text, n, linked, path in lines:
+        if dropped.isdisjoint(path):
+            kept.append((text, n + tags, linked, path))
+            tags = 0
+        else:
+            tags += n
+    return kept
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 0.6, whole: float = 0.95) -> str:
     """The article text of a page; empty if there is none.
 
@@ -158,7 +193,7 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.6, whole: float =
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines = without_named_parts(parser)
     if not lines:
         return ""
     ratio = np.array([len(t) / n for t, n, _, _ in lines])
@@ -189,7 +224,7 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.6, whole: float =
     titles = [k for k, (*_, path) in enumerate(lines) if any(parser.tag.get(n) == "h1" for n in path)]
     first = int(np.argmax(inside))
     if not any(inside[k] for k in titles):
-        before = [k for k in titles if k < first]
+        before = [k for k in titles if k < first and parser.named.isdisjoint(lines[k][3])]
         inside[before[-1:]] = True
     return " ".join(t for k, (t, _, linked, _) in enumerate(lines) if inside[k] and (marked[k] or 2 * linked <= len(t)))
 
