@@ -423,6 +423,15 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_of_full_texts(spark):
+    whole = dict(licenses.full_texts())
+    filler = " ".join(f"word{k}" for k in range(333))
+    docs = spark.createDataFrame([(k, f"{filler} {t} {filler}") for k, t in enumerate(whole.values())] + [(99, filler)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs, licenses.templates(spark, list(whole.items()))).collect()}
+    assert all((k, name) in got and got[k, name]["n_shared"] == got[k, name]["n_shingles"] for k, name in enumerate(whole))
+    assert all(k == list(whole).index(name) for k, name in got)
+
+
 def test_label_model_recovers_accuracies():
     r = np.random.default_rng(0)
     bad = r.random(20_000) < 0.2

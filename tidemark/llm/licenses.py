@@ -7,7 +7,9 @@ what is left of a window that holds a notice is close to the notice itself.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,13 @@ from tidemark.llm.common import Scratch
 SPACE = r"[\x20\x09-\x0D]+"
 MARKS = ".,;:!?\"'()[]{}"
 SHINGLE = 3
-#: One row a band: a window whose kept shingles are similar to a template by s is found with
-#: probability 1 - (1 - s)^BANDS, over 0.9999 from s = 0.25 on.
-BANDS = 32
-#: Window steps in words. A template belongs to the smallest step that its shingles fit; windows
-#: are two steps long, so that one of them holds it whole.
+#: A window whose kept shingles are similar to a template by s is found with probability
+#: 1 - (1 - s)^bands at one row a band; there are as many bands as leave MISS of the windows that
+#: hold the template's smallest accepted part among as many other known shingles as fit.
+MISS = 1e-4
+#: Window steps in words; from the last on they double until the longest template fits. A template
+#: belongs to the smallest step that its shingles fit; windows are two steps long, so that one of
+#: them holds it whole.
 STEPS = [16, 64, 256]
 #: Common notices of public licenses.
 NOTICES = [
@@ -50,17 +54,22 @@ def _shingles(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return hashes.select(*keep, F.posexplode_outer("_h").alias("pos", "shingle")).where("shingle is not null")
 
 
-def _bands(hits: DataFrame, *keys: str) -> DataFrame:
+def _bands(hits: DataFrame, bands: int, *keys: str) -> DataFrame:
     """One row per band: its number and the least hash of the group's shingles."""
-    least = [F.min(F.xxhash64("shingle", F.lit(b))).alias(f"_b{b}") for b in range(BANDS)]
+    least = [F.min(F.xxhash64("shingle", F.lit(b))).alias(f"_b{b}") for b in range(bands)]
     signed = hits.groupBy(*keys).agg(*least)
-    return signed.select(*keys, F.posexplode(F.array(*[f"_b{b}" for b in range(BANDS)])).alias("band", "value"))
+    return signed.select(*keys, F.posexplode(F.array(*[f"_b{b}" for b in range(bands)])).alias("band", "value"))
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     return spark.createDataFrame(notices or NOTICES, "license string, notice string")
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The whole licenses in `license_texts/`, each named after its file; for `templates`."""
+    return [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
+
+
 def scan(docs: DataFrame, notices: DataFrame | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_shared, n_shingles: per document and license, the most distinct shingles of
     the notice in one window, where they are at least `containment` of the notice's.
@@ -73,10 +82,15 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, containment: float =
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     notices = templates(spark) if notices is None else notices
-    known = _shingles(notices, "notice", "license").select("license", "shingle").distinct()
-    sized = known.groupBy("license").agg(F.count(F.lit(1)).alias("n_shingles"))
-    step = reduce(lambda a, s: F.when(F.col("n_shingles") <= s, s).otherwise(a), reversed(STEPS[:-1]), F.lit(STEPS[-1]))
-    known = scratch.stage(known.join(sized, "license").withColumn("step", step), "known")
+    every = _shingles(notices, "notice", "license")
+    sized = every.groupBy("license").agg(F.countDistinct("shingle").alias("n_shingles"), F.max("pos").alias("last"))
+    doubled = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("last") + 1))).cast("long")
+    step = reduce(lambda a, s: F.when(F.col("last") < s, s).otherwise(a), reversed(STEPS), doubled)
+    sized = sized.select("license", "n_shingles", step.alias("step"))
+    known = scratch.stage(every.select("license", "shingle").distinct().join(sized, "license"), "known")
+    part = F.ceil(F.lit(float(containment)) * F.col("n_shingles"))
+    least = known.agg(F.min(part / (2 * F.col("step") + F.col("n_shingles") - part))).first()[0]
+    bands = max(1, math.ceil(math.log(MISS) / math.log(1 - least))) if least and least < 1 else 1
     mine = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text"), F.col(f"`{text_col}`").alias("_t"))
     # Few shingles of a corpus are in a notice: from here on the data is small beside the texts.
     met = _shingles(mine, "_t", "doc_id", "_text").join(known.select("shingle", "step").distinct(), "shingle")
@@ -84,8 +98,8 @@ def scan(docs: DataFrame, notices: DataFrame | None = None, containment: float =
     window = met.select("doc_id", "_text", "step", "shingle", F.explode(F.array(at - 1, at)).alias("window"))
     window = scratch.stage(window.distinct(), "windows")
     keys = ["doc_id", "_text", "step", "window"]
-    wanted = _bands(known.select("license", "step", "shingle"), "license", "step")
-    found = _bands(window, *keys).join(wanted, ["step", "band", "value"]).select(*keys, "license").distinct()
+    wanted = _bands(known.select("license", "step", "shingle"), bands, "license", "step")
+    found = _bands(window, bands, *keys).join(wanted, ["step", "band", "value"]).select(*keys, "license").distinct()
     named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "license")
     same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
     shared = named.join(window, reduce(lambda a, b: a & b, same)).select(*keys, "license", "shingle")
