@@ -162,3 +162,16 @@ def test_late_rows_become_revisions_and_repeats_do_not(spark, folder):
     write(f([("a", "2", 2), ("b", "1", 2)]), 1)
     rows = spark.read.parquet(f"{folder}/versions/*").collect()
     assert sorted((r["k"], r["v"], r["version"]) for r in rows) == [("a", "1", 1), ("a", "2", 2), ("b", "1", 1)]
+
+
+def test_feed_files_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
+    from tidemark.plans import contract_queries as CQ
+
+    ids = spark.range(5000)
+    ids.select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(F.col("id") < 4990, "big").otherwise("src3").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, read = [], CQ.RD.read_feed_xml
+    monkeypatch.setattr(CQ.RD, "read_feed_xml", lambda raw, now: seen.append(raw) or read(raw, now))
+    got = [tuple(r) for r in CQ.read_feed_xml(spark, str(tmp_path)).collect()]
+    assert got == [("big", sum(k % 100 <= 90 for k in range(4990)))]
+    most = seen[0].select(F.max(F.size(F.split("xml", "<item>")) - 1)).first()[0]
+    assert most <= 2000 and seen[0].count() == 4

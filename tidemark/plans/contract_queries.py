@@ -361,16 +361,20 @@ def complete_listing(spark, d):
     return RD.complete_listing(RD.normalize_listings(_listings(spark, d)), 500, "F7")
 
 
+#: Ids a rendered feed file spans: no row holds more items, whatever the size of its source.
+FEED_ITEMS = 2000
+
+
 @query("read_feed_xml", r"""SELECT source AS source_id, count(*) AS articles FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source <> 'src3') WHERE doc_id % 100 <= 90 GROUP BY 1""")
 def read_feed_xml(spark, d):
-    """Feeds rendered from documents, one per source; one feed carries a document type and is refused."""
+    """Feeds rendered from documents, a source's in files of at most FEED_ITEMS ids; one source carries a document type and is refused."""
     doc, k = V.table(spark, d, "documents"), F.col("doc_id")
     at = F.to_timestamp(F.lit("2024-03-01 12:00:00")) - F.expr("make_dt_interval(cast(doc_id % 100 as int))")
     item = F.concat(
         F.lit("<item><title><![CDATA["), F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(" x]]></title><link>https://Feed.example.com/n/"), k.cast("string"), F.lit("?utm_source=rss</link><pubDate>"),
         F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
     )
-    per = doc.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(k, item.alias("x"))))["x"].alias("items"))
+    per = doc.groupBy("source", F.floor(k / FEED_ITEMS).alias("part")).agg(F.sort_array(F.collect_list(F.struct(k, item.alias("x"))))["x"].alias("items"))
     xml = per.select(F.col("source").alias("source_id"), F.concat(F.when(F.col("source") == "src3", "<!DOCTYPE rss>").otherwise(""), F.lit("<rss><channel>"), F.array_join("items", ""), F.lit("</channel></rss>")).alias("xml"))
     return RD.read_feed_xml(xml, F.to_timestamp(F.lit("2024-03-01 12:00:00"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))
 
