@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,21 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """`text` in parts of about `size` bytes that end at ASCII white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
 def chunk_docs(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Rows of about `chunk_bytes` of whole texts: ids and texts packed and compressed.
 

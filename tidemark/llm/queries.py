@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html_text, licenses, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, weak_labels
+from tidemark.llm import decontamination, filter_audit, html_text, licenses, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, weak_labels
 from tidemark.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -138,3 +138,40 @@ ds AS (SELECT doc_id, p - 1 AS pos, array_to_string(list_slice(ws, p, p + 2), '
 m AS (SELECT DISTINCT doc_id, license, n_shingles, g, pos // step - s AS win FROM ds JOIN k USING (g), (SELECT unnest([0, 1]) AS s)),
 c AS (SELECT doc_id, license, win, n_shingles, count(*) AS n FROM m GROUP BY ALL)
 SELECT doc_id, license, max(n)::BIGINT AS n_shared, any_value(n_shingles)::BIGINT AS n_shingles FROM c WHERE n >= 0.8 * n_shingles GROUP BY doc_id, license"""
+
+
+@query
+def op12_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+ORACLES["op13_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+f AS (SELECT doc_id, part,
+             (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+fail AS (SELECT filter_order, step, mask, mask & (1 << (ascii(filter_order[step]) - 65)) > 0 AS fails, mask = (1 << (ascii(filter_order[step]) - 65)) AS only_this
+         FROM s, (SELECT DISTINCT mask FROM m)),
+at AS (SELECT filter_order, mask, coalesce(min(step) FILTER (fails), 9) AS at FROM fail GROUP BY ALL),
+e AS (SELECT *, filter_order[step] AS letter FROM fail JOIN at USING (filter_order, mask)),
+sh AS (SELECT part, letter, sum(n) AS shapley FROM m JOIN e USING (mask) WHERE at = step GROUP BY ALL),
+r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (at > step) AS kept, sum(n) FILTER (at = step) AS removed, sum(n) FILTER (fails AND at < step) AS redundant,
+             sum(n) FILTER (only_this) AS unique_fails, sum(good) FILTER (at = step) AS good_lost, sum(toxic) FILTER (at = step) AS toxic_lost
+      FROM m JOIN e USING (mask) GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(shapley, 0)::BIGINT AS shapley
+FROM r LEFT JOIN sh USING (part, letter)"""
