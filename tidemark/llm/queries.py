@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, filter_audit, html_text, licenses, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, weak_labels
+from tidemark.llm import decontamination, filter_audit, html_text, licenses, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, weak_labels, whitening
 from tidemark.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -145,6 +145,11 @@ def op12_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -165,11 +170,11 @@ o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c,
 s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
 fail AS (SELECT filter_order, step, mask, mask & (1 << (ascii(filter_order[step]) - 65)) > 0 AS fails, mask = (1 << (ascii(filter_order[step]) - 65)) AS only_this
          FROM s, (SELECT DISTINCT mask FROM m)),
-at AS (SELECT filter_order, mask, coalesce(min(step) FILTER (fails), 9) AS at FROM fail GROUP BY ALL),
-e AS (SELECT *, filter_order[step] AS letter FROM fail JOIN at USING (filter_order, mask)),
-sh AS (SELECT part, letter, sum(n) AS shapley FROM m JOIN e USING (mask) WHERE at = step GROUP BY ALL),
-r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (at > step) AS kept, sum(n) FILTER (at = step) AS removed, sum(n) FILTER (fails AND at < step) AS redundant,
-             sum(n) FILTER (only_this) AS unique_fails, sum(good) FILTER (at = step) AS good_lost, sum(toxic) FILTER (at = step) AS toxic_lost
+w AS (SELECT filter_order, mask, coalesce(min(step) FILTER (fails), 9) AS gone FROM fail GROUP BY ALL),
+e AS (SELECT *, filter_order[step] AS letter FROM fail JOIN w USING (filter_order, mask)),
+sh AS (SELECT part, letter, sum(n) AS shapley FROM m JOIN e USING (mask) WHERE gone = step GROUP BY ALL),
+r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (fails AND gone < step) AS redundant,
+             sum(n) FILTER (only_this) AS unique_fails, sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
       FROM m JOIN e USING (mask) GROUP BY ALL)
 SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
        coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
