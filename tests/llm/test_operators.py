@@ -306,6 +306,26 @@ def test_packing_round_trip(docs, none, capacity, slack):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_rank_file_gives_the_library_ids():
+    """Ids ascend in the order of merges, and encodings of vocabulary entries, alone and in pairs, are equal."""
+    library, ranked = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.ranked("byte_bpe_50k.json")
+    r = random.Random(8)
+    entries = [t.decode() for t in (ranked.decode_single_token_bytes(k) for k in range(50_256)) if t.isascii()]
+    tried = entries + [r.choice(entries) + r.choice(entries) for _ in range(50_000)] + [" " * 300_000, "a" * 300_000]
+    got = tokens.byte_level_ids("byte_bpe_50k.json", tried)
+    want = library.encode_batch(tried, add_special_tokens=False)
+    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(got, want))
+
+
+def test_inverse_and_solver_after_a_spark_action(spark):
+    assert spark.range(1000).groupBy().count().first()[0] == 1000
+    r = np.random.default_rng(1)
+    a = r.standard_normal((60, 60))
+    assert np.abs(packing.inverse_of(a) @ a - np.eye(60)).max() < 1e-8
+    patterns, x = packing.cutting_stock(np.arange(1, 257), r.integers(1, 5000, 256), 256)
+    assert (x >= 0).all() and (patterns @ np.arange(1, 257) <= 256).all()
+
+
 def test_column_generation_reaches_the_bound():
     r = np.random.default_rng(1)
     lengths = np.arange(1, 129)

@@ -61,6 +61,27 @@ def _fill(take: np.ndarray, lengths: np.ndarray, c: int, first: int) -> np.ndarr
     return used
 
 
+def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a x. The driver's linear algebra keeps to plain loops of numpy: threads of a numeric library
+    beside the gateway's threads were seen to wait for each other for ever."""
+    return np.einsum("ij,j->i", a, x)
+
+
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination with partial pivoting."""
+    n = len(a)
+    work = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for c in range(n):
+        r = c + int(np.abs(work[c:, c]).argmax())
+        if r != c:
+            work[[c, r]] = work[[r, c]]
+        work[c] /= work[c, c]
+        factor = work[:, c].copy()
+        factor[c] = 0
+        work -= factor[:, None] * work[c]
+    return work[:, n:]
+
+
 def cutting_stock(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 2e-3, columns: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one row each, numbers per length) and how often to use each, by column generation.
 
@@ -74,7 +95,7 @@ def cutting_stock(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: f
     inverse = np.diag(1 / np.diag(basis))
     # Slightly different right sides keep simplex steps from standing still on ties.
     wanted = counts * (1 + 1e-4 * np.random.default_rng(m).random(m))
-    x = inverse @ wanted
+    x = times(inverse, wanted)
     pool = np.zeros((0, m))
     for _ in range(2 * m):
         dual = inverse.sum(axis=0)
@@ -87,21 +108,21 @@ def cutting_stock(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: f
         new = [_fill(take, lengths, capacity, int(k)) for k in chosen if around[k] > 1 + 1e-9]
         pool = np.unique(np.concatenate([pool, new]), axis=0)
         for _ in range(2 * m):
-            price = pool @ inverse.sum(axis=0)
+            price = times(pool, inverse.sum(axis=0))
             k = int(price.argmax())
             if price[k] <= 1 + 1e-6:
                 break
-            d = inverse @ pool[k]
+            d = times(inverse, pool[k])
             up = d > 1e-6
             r = int(np.where(up, x / np.where(up, d, 1), np.inf).argmin())
             basis[:, r] = pool[k]
             row = inverse[r] / d[r]
-            inverse -= np.outer(d, row)
+            inverse -= d[:, None] * row
             inverse[r] = row
-            x = np.maximum(inverse @ wanted, 0)
-        inverse = np.linalg.inv(basis)
-        pool = pool[pool @ inverse.sum(axis=0) > 0.8]
-    return basis.T, np.maximum(inverse @ counts, 0)
+            x = np.maximum(times(inverse, wanted), 0)
+        inverse = inverse_of(basis)
+        pool = pool[times(pool, inverse.sum(axis=0)) > 0.8]
+    return basis.T, np.maximum(times(inverse, counts.astype(float)), 0)
 
 
 def slots(classes: np.ndarray, counts: np.ndarray, capacity: int, slack: float) -> list[tuple]:
@@ -110,7 +131,7 @@ def slots(classes: np.ndarray, counts: np.ndarray, capacity: int, slack: float)
     if not len(classes):
         return []
     patterns, x = cutting_stock(classes, counts, capacity)
-    total = patterns @ classes
+    total = times(patterns, classes.astype(float))
     out, rank, sequence = [], np.zeros(len(classes), np.int64), 0
     for p in np.argsort(-total, kind="stable").tolist():
         if round(total[p]) < capacity * (1 - slack):

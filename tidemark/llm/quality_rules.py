@@ -146,17 +146,14 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of `docs` that `host_quality` keeps, with their own columns.
 
-    The counts are computed again beside the texts, so no text is shuffled.
+    Rows and counts are written once, side by side, so that neither is computed twice and no text is
+    shuffled; failing hosts come to the rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    small = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("_text"))
-    hosts = host_table(scratch.stage(document_metrics(small, "_text").drop("_text"), "metrics"), scratch)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         own.alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("_text")
     )
-    # A filter is not pushed below a row number. Pushed down, it would repeat each array's expression
-    # in place of the array, once per element.
-    numbered = document_metrics(rows, "_text").withColumn("_number", F.monotonically_increasing_id())
-    judged = _verdicts(mark_failed_hosts(numbered, hosts))
-    return judged.where(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
+    metrics = scratch.stage(document_metrics(rows, "_text").drop("_text"), "metrics")
+    hosts = host_table(metrics.drop("_row"), scratch)
+    return _verdicts(mark_failed_hosts(metrics, hosts)).where("kept").select("_row.*")

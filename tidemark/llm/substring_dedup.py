@@ -107,3 +107,19 @@ def remove_repeated_windows(
     return tally.with_replies(chunks, replies).mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, carry string"
     )
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **how) -> DataFrame:
+    """The rows of `docs` without passages of an earlier document, in their own columns; documents
+    that lose every word go.
+
+    A changed text is its kept words joined by one space, and `length_col`, where there is one,
+    counts its code points as a long.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col, length_col)]
+    carried = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
+    out = remove_repeated_windows(docs, id_col=id_col, text_col=text_col, carry=rest, **how)
+    back = F.from_json("carry", carried) if rest else F.struct(F.lit(None).alias("none"))
+    kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select("doc_id", "text", back.alias("row"))
+    columns = {id_col: F.col("doc_id"), text_col: F.col("text"), length_col: F.length("text").cast("long")}
+    return kept.select(*[(columns[c] if c in columns else F.col("row").getField(c)).alias(c) for c in docs.columns])
