@@ -246,6 +246,26 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64))
 
 
+def shared_at_most(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, most): how many shingles of each member some other member has too.
+
+    Shingles with one holder only are counted back to it, so common ones, however many members
+    have them, are added up before the shuffle and never meet their holders.
+    """
+    mine = sets.join(members.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i, b in zip(f.column("doc_id").to_pylist(), f.column("shingles")):
+                own = np.frombuffer(b.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own)], names=["rep", "shingle"])
+
+    lonely = mine.mapInArrow(each, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    alone = lonely.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = mine.select(F.col("doc_id").alias("rep"), (F.length("shingles") / 8).cast("long").alias("size"))
+    return sizes.join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def similar_groups(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rows: int = 5, miss: float = 1e-4,
 ) -> DataFrame:
@@ -257,27 +277,35 @@ def similar_groups(
     `similarity`. A posting (the members of one band key) is tested in rounds: its largest group so
     far is set apart, some of the other members are each tested against all members of other
     groups and then leave it, more of them every round, until one group is left. So every pair of
-    a posting is tested or its ends are in one group already. A group is named by its smallest id.
+    a posting is tested or its ends are in one group already. Members that meet most others over
+    all their postings are tested first: copies that were all made from one text may be less alike
+    among themselves than each is to that text, which links them at once. Pairs that cannot share
+    enough shingles, by their sizes and by the shingles that no other member has, are not formed.
+    A group is named by its smallest id.
     Texts of equal shingles form one class beforehand. Rows whose id is null are left out.
     """
     bands = math.ceil(math.log(miss) / math.log(1 - similarity**rows))
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for f in frames:
                 for i, t in zip(f.column("doc_id").to_pylist(), texts(f)):
                     own = shingle_set(t, shingle)
-                    yield i, xxhash.xxh3_128_digest(own.tobytes()), minhash_bands(own, rows, bands)
+                    yield i, xxhash.xxh3_128_digest(own.tobytes()), len(own), minhash_bands(own, rows, bands)
 
         yield from batches(schema, found())
 
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    every = scratch.stage(mine.mapInArrow(run, "doc_id long, class binary, bands array<long>"), "bands")
-    classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    each = classes.select("rep", F.explode("bands").alias("key"))
-    met = each.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("key")
-    postings = scratch.stage(each.join(met, "key").select("key", "rep", F.col("rep").alias("group")), "postings-0")
+    every = scratch.stage(mine.mapInArrow(run, "doc_id long, class binary, size long, bands array<long>"), "bands")
+    classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    each = classes.select("rep", "size", F.explode("bands").alias("key"))
+    met = each.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("low < top").select("key", "n")
+    placed = scratch.stage(each.join(met, "key").select("key", "rep", "size", "n"), "placed")
+    # How many meetings a member has over all its postings: most for the text that others were made from.
+    meetings = placed.groupBy("rep").agg(F.sum("n").alias("meetings"))
+    # `most` bounds how many shingles a member shares with any other: all, until rarer ones are counted.
+    postings = scratch.stage(placed.join(meetings, "rep").select("key", "rep", F.col("rep").alias("group"), "meetings", "size", F.col("size").alias("most")), "postings-0")
 
     def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
@@ -308,19 +336,34 @@ def similar_groups(
         live = scratch.stage(postings.join(split.select("key", F.col("most.group").alias("main")), "key"), f"live-{k}")
         if live.isEmpty():
             break
+        if k:
+            bound = scratch.stage(shared_at_most(live.select("rep").distinct(), sets), f"bound-{k}")
+            live = live.drop("most").join(bound, "rep").where(F.col("most") >= similarity * F.col("size"))
+            live = scratch.stage(live, f"bounded-{k}")
+            if live.isEmpty():
+                break
+        once = F.lit(True)
+        if k:
+            # A pair that shares several live postings is formed in the first of them alone: it stays
+            # together there until one of the two is a tester. At most one key per band is gathered.
+            live = live.join(live.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep")
+            once = F.col("key") == F.array_min(F.array_intersect("keys", "others"))
         # Testers: at most 4, 32, 256, ... members outside the largest group of each posting.
         mixed = F.xxhash64("rep", F.lit(k))
         drawn = live.where("group != main").groupBy("key", F.pmod(mixed, F.lit(4 * 8 ** min(k, 16))).alias("place"))
-        testers = scratch.stage(drawn.agg(F.min(F.struct(mixed.alias("h"), F.col("rep"), F.col("group"))).alias("t")).select("key", F.col("t.rep").alias("tester"), F.col("t.group").alias("own")), f"testers-{k}")
-        met = live.join(testers, "key").where("group != own")
+        first_of = F.min(F.struct((-F.col("meetings")).alias("m"), mixed.alias("h"), F.col("rep"), F.col("group"), F.col("size"), F.col("most"), *([F.col("keys")] if k else []))).alias("t")
+        testers = scratch.stage(drawn.agg(first_of).select("key", F.col("t.rep").alias("tester"), F.col("t.group").alias("own"), F.col("t.size").alias("n"), F.col("t.most").alias("top"), *([F.col("t.keys").alias("others")] if k else [])), f"testers-{k}")
+        # Similar sets share at least `similarity` / (1 + `similarity`) of the sum of their sizes.
+        enough = F.least("most", "top") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("n")) - 1e-6
+        met = live.join(testers, "key").where((F.col("group") != F.col("own")) & enough & once)
         pairs = met.select(F.greatest("rep", "tester").alias("x"), F.least("rep", "tester").alias("y")).distinct()
         pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         linked = scratch.stage(pairs.join(first, "x").join(second, "y").mapInArrow(verified, "a long, b long"), f"linked-{k}")
         edges = linked if edges is None else edges.unionByName(linked)
         roots = components(edges, scratch, f"groups-{k}")
-        rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"))
+        rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "meetings", "size", "most")
+        rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"), "meetings", "size", "most")
         k += 1
         postings = scratch.stage(rest, f"postings-{k}")
         scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
