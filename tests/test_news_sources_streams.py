@@ -154,16 +154,6 @@ def test_velocity_stream_in_small_batches_equals_the_fold(spark, folder):
             assert got[(t, start + dt.timedelta(days=i))] == want
 
 
-def test_late_rows_become_revisions_and_repeats_do_not(spark, folder):
-    write = ST.late_data_writer(folder, "k", "v", "o")
-    f = lambda rows: spark.createDataFrame(rows, "k string, v string, o int")
-    write(f([("a", "1", 1), ("b", "1", 1)]), 0)
-    write(f([("a", "2", 2), ("b", "1", 2)]), 1)
-    write(f([("a", "2", 2), ("b", "1", 2)]), 1)
-    rows = spark.read.parquet(f"{folder}/versions/*").collect()
-    assert sorted((r["k"], r["v"], r["version"]) for r in rows) == [("a", "1", 1), ("a", "2", 2), ("b", "1", 1)]
-
-
 def test_feed_files_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
     from tidemark.plans import contract_queries as CQ
 

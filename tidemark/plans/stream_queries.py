@@ -16,6 +16,7 @@ from tidemark.plans.display_queries import _REGIME, ROLES, _factors, _vix
 from tidemark.plans.research_queries import _USAGE
 from tidemark.plans.theme_queries import _VELOCITY, _core, day
 from tidemark.plans.views import m, money, with_views
+from tidemark.streaming import late as LD
 from tidemark.streaming import streams as ST
 
 
@@ -102,13 +103,34 @@ def stream_usage_changes(spark, d):
     return run_stream(ST.stream_usage_changes(ev), "usage").select("event_id")
 
 
-@query("late_data", """SELECT user_id, count(DISTINCT event_type) AS versions FROM events GROUP BY 1""")
+#: Events land out of order: by 40 places at most, so that some come behind an hour of delay.
+_ARRIVAL = "event_id * 8 + (event_id * 7919 % 41) * 8 + event_id % 8"
+
+
+@query("late_data", f"""WITH e AS (SELECT user_id, event_type, ts, {_ARRIVAL} AS arrival FROM events),
+  r AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrival) AS newest, max(ts) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+  l AS (SELECT *, coalesce(ts < before - INTERVAL '1 hour', false) AS late FROM r),
+  j AS (SELECT user_id, ts, arrival, event_type, late, arrival AS judged FROM l WHERE late UNION ALL
+        SELECT l.user_id, l.ts, l.arrival, l.event_type, l.late, min(n.arrival) AS judged
+        FROM l JOIN r n ON n.user_id = l.user_id AND n.arrival >= l.arrival AND n.newest - INTERVAL '1 hour' >= l.ts WHERE NOT l.late GROUP BY ALL),
+  c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY judged, ts, arrival) IS DISTINCT FROM event_type AS changed FROM j)
+  SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, arrival, event_type, CAST(count(*) OVER (PARTITION BY user_id ORDER BY judged, ts, arrival) AS BIGINT) AS version, late FROM c WHERE changed""")
 def late_data(spark, d):
-    """Every further value of a key becomes a revision."""
-    ev = table_stream(spark, d, "events").select("user_id", "event_type", "event_id")
-    path = shared_folder(spark, "late")
-    run_batches(ev, ST.late_data_writer(path, "user_id", "event_type", "event_id"), "late")
-    return spark.read.parquet(f"{path}/versions/*").groupBy("user_id").agg(F.max("version").alias("versions"))
+    """Every version of a user's event type, from events that land out of order, over several batches."""
+    ev = V.table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.expr(f"CAST({_ARRIVAL} AS BIGINT)").alias("arrival"))
+    path = f"{shared_folder(spark, 'late')}/in"
+    top = ev.agg(F.max("arrival")).first()[0] or 0
+    for k in range(4):  # landed in the order of arrival, a user's rows of a landing in one file
+        ev.where(F.floor(F.col("arrival") * 4 / F.lit(top + 1)) == k).repartition("user_id").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, LD.ROCKSDB)
+    try:
+        out = run_stream(LD.late_versions(stream, "user_id", "event_type", "ts", "arrival", "1 hour"), "late")
+    finally:
+        spark.conf.set(name, old)
+    return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "arrival", "event_type", "version", "late")
 
 
 @query("sliding_activity", f"""SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, {m('sum(value)')} AS total FROM (

@@ -188,31 +188,3 @@ def previous_generation(spark, path: str, before: int | None = None) -> str | No
 
 def latest_quotes(spark, path: str) -> DataFrame:
     return spark.read.parquet(previous_generation(spark, path))
-
-
-def late_data_writer(path: str, key: str, value: str, order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: the first row of a key goes to `current`, every later different one to `revisions`.
-
-    A revision never overwrites; it becomes version n + 1. Output is partitioned by batch and a
-    repeated batch rewrites only its own partition.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = f"{key} {dict(batch.dtypes)[key]}, {value} {dict(batch.dtypes)[value]}, version long, batch long"
-        seen = _read_parts(spark, f"{path}/versions", schema).where(F.col("batch") < batch_id)
-        top = seen.groupBy(key).agg(F.max_by(value, "version").alias("_last"), F.max("version").alias("_n"))
-        rows = batch.groupBy(key, value).agg(F.min(order).alias("_o"))
-        w = Window.partitionBy(key).orderBy("_o", value)
-        fresh = rows.join(top, key, "left").where(F.col("_last").isNull() | (F.col(value) != F.col("_last")))
-        out = fresh.select(key, value, (F.coalesce("_n", F.lit(0)) + F.row_number().over(w)).cast("long").alias("version"))
-        out.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/versions/b={batch_id}")
-
-    return write
-
-
-def _read_parts(spark, path: str, schema: str) -> DataFrame:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/*")
