@@ -189,3 +189,28 @@ def test_published_regime_day(spark):
     out = R.confidence(R.stress(R.instability_score(R.trend_score(row)))).withColumn("final", R.worse(F.col("state"))).first()
     assert out["trend"] == pytest.approx(33.04, abs=5e-3) and out["instability"] == pytest.approx(96.43, abs=5e-3)
     assert out["stress_active"] and out["final"] == "Bear" and out["confidence"] == "Low" and out["instability_label"] == "Stress"
+
+
+def test_versions_in_force_by_interval_index(spark):
+    import datetime as dt
+    import random
+
+    from tidemark.operators import dims as DM
+
+    r = random.Random(9)
+    start = dt.date(2020, 1, 1)
+    day = lambda n: start + dt.timedelta(days=n)
+    noon = lambda n: dt.datetime.combine(day(n), dt.time(12))
+    defs = [(f"t{k % 3}", k, day(a := r.randint(0, 400)), r.choice([None, day(a + r.randint(0, 200))]), noon(a + r.randint(-30, 90))) for k in range(120)]
+    defs += [("t0", 900, None, None, noon(0)), ("t0", 901, day(0), None, None), (None, 902, day(0), None, noon(0))]
+    asked = [(f"t{k % 4}", k, noon(r.randint(-50, 600))) for k in range(200)] + [("t0", 900, None), (None, 901, noon(5))]
+    out = DM.effective_at_exclusive(
+        spark.createDataFrame(defs, "theme_id string, v int, valid_from date, valid_to date, known_at timestamp"),
+        spark.createDataFrame(asked, "theme_id string, q int, issued_at timestamp"),
+    )
+    want = sorted(
+        (q, v) for t, q, at in asked for u, v, a, b, known in defs
+        if None not in (t, at, a, known) and t == u and a <= at.date() and (b is None or at.date() < b) and known <= at
+    )
+    assert sorted((x["q"], x["v"]) for x in out.collect()) == want and want
+    assert out.columns == ["theme_id", "q", "issued_at", "v", "valid_from", "valid_to", "known_at"]

@@ -62,13 +62,25 @@ def effective_at(
 
 
 def effective_at_exclusive(defs: DataFrame, requests: DataFrame, key: str = "theme_id") -> DataFrame:
-    """Definitions with valid_from <= day < valid_to that were known when the request was issued."""
-    day = F.to_date("issued_at")
-    return requests.join(defs, key).where(
+    """Definitions with valid_from <= day < valid_to that were known when the request was issued.
+
+    An interval index: each version is laid out over the months it covers, within the months of the
+    requests, and a request meets the versions of its own key and month only. A key with many
+    versions and many requests is thus spread over its months, and AQE can split a month further.
+    """
+    day, month = F.to_date("issued_at"), lambda c: F.trunc(c, "month")
+    asked = requests.withColumn("_month", month(day))
+    bounds = asked.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+    start = F.greatest(F.col("valid_from"), F.to_date("known_at"), F.col("_lo"))
+    end = F.least(F.date_sub("valid_to", 1), F.col("_hi"))
+    # The bounds are one row.
+    inside = defs.where(F.col("valid_from").isNotNull() & F.col("known_at").isNotNull()).join(F.broadcast(bounds)).where(start <= end)
+    laid = inside.withColumn("_month", F.explode(F.sequence(month(start), month(end), F.expr("INTERVAL 1 MONTH")))).drop("_lo", "_hi")
+    return asked.join(laid, [key, "_month"]).where(
         (F.col("valid_from") <= day)
         & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
         & (F.col("known_at") <= F.col("issued_at"))
-    )
+    ).drop("_month")
 
 
 def active_themes(themes: DataFrame, as_of: DataFrame) -> DataFrame:
