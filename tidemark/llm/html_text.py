@@ -66,6 +66,11 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def _running(self) -> bool:
+        """Whether an inline element here belongs to a main heading or to a sentence that has begun."""
+        inside = {t for t, _, _ in self.open}
+        return "h1" in inside or ("p" in inside and any(x.strip() for x in self.parts))
+
     def _unwanted(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED or (tag == "header" and not any(t in CONTENT for t, _, _ in self.open)):
             return True
@@ -73,7 +78,7 @@ class _Lines(HTMLParser):
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if value and (
-                (name in ("class", "id") and tag in INLINE and NAMES.search(value))
+                (name in ("class", "id") and tag in INLINE and not self._running() and NAMES.search(value))
                 or (name == "role" and value.lower() in ROLES)
                 or (name == "style" and _HIDDEN.search(value))
             ):
