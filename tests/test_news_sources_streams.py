@@ -15,7 +15,8 @@ from tidemark.operators import news as N
 from tidemark.operators.checks import overlapping
 from tidemark.sources import readers as RD
 from tidemark.sources import sinks as SK
-from tidemark.streaming import streams as ST
+from tidemark.streaming import folds as FD
+from tidemark.streaming import late as LD
 
 NOW = dt.datetime(2026, 9, 10, 12)
 
@@ -146,8 +147,10 @@ def test_velocity_stream_in_small_batches_equals_the_fold(spark, folder):
         rows = [(t, start + dt.timedelta(days=i), rs[i]) for t, rs in series.items() for i in range(b * 10, b * 10 + 10)]
         spark.createDataFrame(rows, "theme_id string, as_of date, raw_state string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     src = spark.readStream.schema("theme_id string, as_of date, raw_state string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    q = ST.stream_velocity(src).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", LD.ROCKSDB)
+    q = FD.stream_velocity(src).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r["theme_id"], r["as_of"]): (r["state"], r["candidate"], r["candidate_days"], r["confirmed"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     for t, rs in series.items():
         for i, want in enumerate(fold_velocity(rs)):

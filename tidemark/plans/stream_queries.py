@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from tidemark.plans.display_queries import _REGIME, ROLES, _factors, _vix
 from tidemark.plans.research_queries import _USAGE
 from tidemark.plans.theme_queries import _VELOCITY, _core, day
 from tidemark.plans.views import m, money, with_views
+from tidemark.streaming import folds as FD
 from tidemark.streaming import late as LD
+from tidemark.streaming import quotes as QT
 from tidemark.streaming import streams as ST
 
 
@@ -56,6 +60,35 @@ def frame_stream(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+#: Landings of a stream that comes in several batches, and files of a landing.
+LANDINGS, FILES = 4, 4
+
+
+def landed_stream(df: DataFrame, name: str, key: str, place) -> DataFrame:
+    """A table landed in parts by rising `place` (a number), read as a stream of as many batches.
+
+    The rows of a key lie in one file of each landing, so that its files come in order.
+    """
+    path = f"{shared_folder(df.sparkSession, name)}/in"
+    lo, hi = df.agg(F.min(place), F.max(place)).first()
+    part = F.floor((place - F.lit(lo or 0)) * LANDINGS / F.lit((hi or 0) - (lo or 0) + 1))
+    for k in range(LANDINGS):
+        df.where(part == k).repartition(FILES, key).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Keyed states need this store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, LD.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 @query("stream_bars", f"""SELECT event_type AS ticker, strftime(s, '%Y-%m-%d %H:%M:%S') AS bar_start, {m('o')} AS open, {m('c')} AS close, {m('v')} AS volume, n AS ticks FROM (
   SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS s, arg_min(value, (ts, event_id)) AS o, arg_max(value, (ts, event_id)) AS c, sum(user_id) AS v, count(*) AS n FROM events GROUP BY 1, 2)
   WHERE s + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""".replace("sum(user_id)", "CAST(sum(user_id) AS DOUBLE)"))
@@ -69,12 +102,13 @@ def stream_bars(spark, d):
 
 @query("stream_latest_quotes", f"SELECT CAST(user_id AS VARCHAR) AS ticker, {m('arg_max(value, (CAST(ts AS DATE), event_id))')} AS price FROM events GROUP BY 1")
 def stream_latest_quotes(spark, d):
-    q = table_stream(spark, d, "events").select(
+    """Every event a quote of its user; days come in order of their number modulo 7, so that later batches bring older ones."""
+    q = V.table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("ticker"), F.to_date("ts").alias("as_of"), F.col("value").alias("price"), F.col("event_id").alias("quote_id")
     )
     path = shared_folder(spark, "quotes")
-    run_batches(q, ST.latest_quotes_writer(path), "quotes")
-    return ST.latest_quotes(spark, path).select("ticker", money("price"))
+    run_batches(landed_stream(q, "quote-feed", "ticker", F.unix_date("as_of") % 7), QT.latest_quotes_writer(path, buckets=16), "quotes")
+    return QT.latest_quotes(spark, path).select("ticker", money("price"))
 
 
 @query("stream_dedupe_news", with_views("SELECT link, 1 AS n FROM arts GROUP BY 1", NQ._NEWS).replace("1 AS n", "CAST(1 AS BIGINT) AS n"))
@@ -86,21 +120,26 @@ def stream_dedupe_news(spark, d):
 @query("stream_velocity", with_views(f"SELECT theme_id, {day('as_of')}, state, CAST(days AS BIGINT) AS candidate_days, confirmed FROM fold", _VELOCITY))
 def stream_velocity(spark, d):
     raw = T.velocity_raw(V.all_bars(spark, d), _core(spark, d), V.as_of(spark, d)).select("theme_id", "as_of", "raw_state")
-    out = run_stream(ST.stream_velocity(frame_stream(raw, "raw")), "velocity")
+    with rocksdb(spark):
+        out = run_stream(FD.stream_velocity(landed_stream(raw, "raw", "theme_id", F.unix_date("as_of"))), "velocity")
     return flat(out.select("theme_id", "as_of", "state", "candidate_days", "confirmed"))
 
 
 @query("stream_regime", with_views(f"SELECT {day('session')}, state, CAST(days AS BIGINT) AS state_days, stressed AS stress_active FROM regime_rows", _REGIME))
 def stream_regime(spark, d):
     rows = R.regime_daily(_factors(spark, d), _vix(spark, d), ROLES).select("market_id", "session", "trend", "stress_hit")
-    out = run_stream(ST.stream_regime(frame_stream(rows, "scores")), "regime")
+    with rocksdb(spark):
+        out = run_stream(FD.stream_regime(landed_stream(rows, "scores", "market_id", F.unix_date("session"))), "regime")
     return flat(out.select("session", "state", "state_days", "stress_active"))
 
 
 @query("stream_usage_changes", _USAGE.replace("SELECT event_id, prev FROM", "SELECT event_id FROM", 1))
 def stream_usage_changes(spark, d):
-    ev = table_stream(spark, d, "events").withColumn("fingerprint", F.concat_ws("|", "event_type", F.floor(F.col("value") / 20).cast("string"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_stream(ST.stream_usage_changes(ev), "usage").select("event_id")
+    ev = V.table(spark, d, "events").withColumn("fingerprint", F.concat_ws("|", "event_type", F.floor(F.col("value") / 20).cast("string"))).withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = ev.select("event_id", "user_id", "ts", "fingerprint")
+    with rocksdb(spark):
+        out = run_stream(FD.stream_usage_changes(landed_stream(ev, "usage-feed", "user_id", F.unix_micros("ts"))), "usage")
+    return out.select("event_id")
 
 
 #: Events land out of order: by 40 places at most, so that some come behind an hour of delay.
@@ -118,18 +157,8 @@ _ARRIVAL = "event_id * 8 + (event_id * 7919 % 41) * 8 + event_id % 8"
 def late_data(spark, d):
     """Every version of a user's event type, from events that land out of order, over several batches."""
     ev = V.table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.expr(f"CAST({_ARRIVAL} AS BIGINT)").alias("arrival"))
-    path = f"{shared_folder(spark, 'late')}/in"
-    top = ev.agg(F.max("arrival")).first()[0] or 0
-    for k in range(4):  # landed in the order of arrival, a user's rows of a landing in one file
-        ev.where(F.floor(F.col("arrival") * 4 / F.lit(top + 1)) == k).repartition("user_id").write.mode("append").parquet(path)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name)
-    spark.conf.set(name, LD.ROCKSDB)
-    try:
-        out = run_stream(LD.late_versions(stream, "user_id", "event_type", "ts", "arrival", "1 hour"), "late")
-    finally:
-        spark.conf.set(name, old)
+    with rocksdb(spark):
+        out = run_stream(LD.late_versions(landed_stream(ev, "arrivals", "user_id", F.col("arrival")), "user_id", "event_type", "ts", "arrival", "1 hour"), "late")
     return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "arrival", "event_type", "version", "late")
 
 
