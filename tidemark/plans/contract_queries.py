@@ -87,11 +87,17 @@ def theme_members(spark, d):
     return flat(DM.theme_members(V.memberships(spark, d), V.as_of(spark, d)))
 
 
+#: Themes in force from successive years on; one is retired.
+_STARTS = "CASE theme_id WHEN 'T3' THEN DATE '1997-01-06' WHEN 'T2' THEN DATE '1996-01-01' ELSE DATE '1996-01-01' + CAST(substr(theme_id, 2) AS INT) * 300 END"
+
+
 @query("active_themes", with_views(
-    f"""SELECT {day('s.session', 'as_of')}, (SELECT string_agg(theme_id, ',' ORDER BY theme_id) FROM themes t WHERE t.theme_id IN ('T2', 'T3') AND s.session >= coalesce(CASE WHEN theme_id = 'T3' THEN DATE '1997-01-06' ELSE effective_from END, DATE '0001-01-01')) AS theme_ids,
-               CASE WHEN s.session < DATE '1996-01-01' THEN '1996-01-01' END AS next_effective FROM sessions s"""))
+    f"""SELECT {day('s.session', 'as_of')}, string_agg(theme_id, ',' ORDER BY theme_id) AS theme_ids,
+               CASE WHEN count(theme_id) = 0 THEN (SELECT CAST(min(f) AS VARCHAR) FROM th WHERE f > s.session) END AS next_effective
+        FROM sessions s LEFT JOIN th ON th.f <= s.session AND (th.effective_to IS NULL OR s.session <= th.effective_to) AND th.theme_id <> 'T4' GROUP BY s.session""",
+    {"th": f"SELECT theme_id, effective_to, {_STARTS} AS f FROM themes"}))
 def active_themes(spark, d):
-    t = V.themes(spark, d).where(F.col("theme_id").isin("T2", "T3")).withColumn("effective_from", F.when(F.col("theme_id") == "T3", F.to_date(F.lit("1997-01-06"))).otherwise(F.col("effective_from")))
+    t = V.themes(spark, d).withColumn("effective_from", F.expr(_STARTS)).withColumn("status", F.when(F.col("theme_id") == "T4", "retired").otherwise("active"))
     return flat(DM.active_themes(t, V.as_of(spark, d)))
 
 
@@ -247,15 +253,16 @@ def check_periods(spark, d):
 
 
 @query("check_calendar", with_views(
-    """SELECT 'coverage_gap' AS rule, CAST(CAST(g AS DATE) AS VARCHAR) AS key, NULL AS detail FROM (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL '1 day')) AS g) WHERE dayofweek(g) = 3
+    """SELECT 'coverage_gap' AS rule, CAST(CAST(g AS DATE) AS VARCHAR) AS key, NULL AS detail FROM (SELECT unnest(generate_series((SELECT min(session) FROM sessions), (SELECT max(session) FROM sessions), INTERVAL '1 day')) AS g) WHERE dayofweek(g) = 3
        AND CAST(g AS DATE) NOT IN (SELECT session FROM sessions)
-       UNION ALL SELECT 'session_date', CAST(session AS VARCHAR), NULL FROM sessions WHERE session BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'"""))
+       UNION ALL SELECT 'session_date', CAST(session AS VARCHAR), NULL FROM sessions"""))
 def check_calendar(spark, d):
     """Weekly sessions close on another day; Wednesdays are neither sessions nor closures."""
-    s = V.sessions(spark, d).where(F.col("session").between("2000-01-01", "2000-12-31"))
-    days = spark.sql("SELECT explode(sequence(DATE '2000-01-01', DATE '2000-12-31')) AS date").where(F.dayofweek("date") != 4)
+    s = V.sessions(spark, d)
+    lo, hi = s.agg(F.min("session"), F.max("session")).first()
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("date")).where(F.dayofweek("date") != 4)
     closed = days.join(s.select(F.col("session").alias("date")), "date", "left_anti")
-    return K.check_calendar(s, closed, "2000-01-01", "2000-12-31")
+    return K.check_calendar(s, closed, str(lo), str(hi))
 
 
 @query("check_archive", with_views(
@@ -309,41 +316,56 @@ def parse_price_payload_strict(spark, d):
 
 
 def _vix_lines(spark, d):
-    b = V.bars(spark, d).where(F.col("ticker").isin("Brand#6", "Brand#7", "Brand#9"))
-    us = F.col("ticker") == "Brand#6"
-    return b.select(
-        F.when(us, "Cboe").when(F.col("ticker") == "Brand#7", "FRED").otherwise("Other").alias("source"), F.datediff("session", F.lit("1990-01-01")).alias("pos"),
-        F.when(us, F.date_format("session", "MM/dd/yyyy")).otherwise(F.date_format("session", "yyyy-MM-dd")).alias("day"),
+    """Three brands a market, each a source; one of them in the other layout."""
+    n = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
+    return V.bars(spark, d).select(
+        F.floor(n / 3).alias("market"), F.element_at(F.array(F.lit("Cboe"), F.lit("FRED"), F.lit("Other")), n % 3 + 1).alias("source"), F.datediff("session", F.lit("1990-01-01")).alias("pos"),
+        F.when(n % 3 == 0, F.date_format("session", "MM/dd/yyyy")).otherwise(F.date_format("session", "yyyy-MM-dd")).alias("day"),
         F.when(F.dayofyear("session") % 40 == 0, ".").otherwise((F.col("volume") % 30).cast("string")).alias("value"),
     )
 
 
 _VIX = {
-    "vixl": """SELECT CASE ticker WHEN 'Brand#6' THEN 'Cboe' WHEN 'Brand#7' THEN 'FRED' ELSE 'Other' END AS source, session AS date, volume % 30 AS close FROM bars
-               WHERE ticker IN ('Brand#6', 'Brand#7', 'Brand#9') AND dayofyear(session) % 40 <> 0 AND volume % 30 > 0 AND session <= DATE '2001-03-01'""",
+    "vixn": """SELECT n // 3 AS market, CASE n % 3 WHEN 0 THEN 'Cboe' WHEN 1 THEN 'FRED' ELSE 'Other' END AS source, session AS date, volume % 30 AS close FROM (SELECT *, CAST(regexp_extract(ticker, '(\\d+)', 1) AS INT) AS n FROM bars)
+               WHERE dayofyear(session) % 40 <> 0 AND volume % 30 > 0 AND session <= DATE '2001-03-01'""",
+    "vixl": "SELECT * FROM vixn QUALIFY count(*) OVER (PARTITION BY market, source) >= 2",
 }
 
 
-@query("parse_vix_csv", with_views(f"SELECT source, {day('date')}, {r('close')} AS close FROM vixl", _VIX))
+@query("parse_vix_csv", with_views(f"SELECT CAST(market AS BIGINT) AS market, source, {day('date')}, {r('close')} AS close FROM vixl", _VIX))
 def parse_vix_csv(spark, d):
-    return flat(RD.parse_vix_csv(_vix_lines(spark, d), F.to_date(F.lit("2001-03-01"))))
+    return flat(RD.parse_vix_csv(_vix_lines(spark, d), F.to_date(F.lit("2001-03-01")), ("market",)))
 
 
 @query("choose_latest_source", with_views(
-    f"""SELECT source, {day('date', 'as_of')}, {r('close')} AS close, {r('pc')} AS previous_close FROM (SELECT *, lag(close) OVER (PARTITION BY source ORDER BY date) AS pc FROM vixl)
-        ORDER BY date DESC, CASE source WHEN 'Cboe' THEN 0 WHEN 'FRED' THEN 1 ELSE 2 END LIMIT 1""", _VIX))
+    f"""SELECT CAST(market AS BIGINT) AS market, source, {day('date', 'as_of')}, {r('close')} AS close, {r('pc')} AS previous_close FROM (SELECT *, lag(close) OVER (PARTITION BY market, source ORDER BY date) AS pc FROM vixl)
+        QUALIFY row_number() OVER (PARTITION BY market ORDER BY date DESC, CASE source WHEN 'Cboe' THEN 0 WHEN 'FRED' THEN 1 ELSE 2 END) = 1""", _VIX))
 def choose_latest_source(spark, d):
-    vix = RD.parse_vix_csv(_vix_lines(spark, d), F.to_date(F.lit("2001-03-01")))
-    return flat(RD.choose_latest_source(vix, ["Cboe", "FRED"]).drop("previous_as_of"))
+    vix = RD.parse_vix_csv(_vix_lines(spark, d), F.to_date(F.lit("2001-03-01")), ("market",))
+    return flat(RD.choose_latest_source(vix, ["Cboe", "FRED"], ("market",)).drop("previous_as_of"))
+
+
+_FX = {
+    "fxl": """SELECT ticker, session, n, CASE WHEN n % 10 = 7 THEN 'EUR/JPY' ELSE 'USD/JPY' END AS pair, CASE WHEN n % 10 = 6 AND volume % 50 = 7 THEN NULL ELSE 100 + volume % 50 END AS rate,
+              CASE WHEN n % 10 = 5 AND volume % 50 = 3 THEN 2 ELSE 1 END AS copies FROM (SELECT *, CAST(regexp_extract(ticker, '(\\d+)', 1) AS INT) AS n FROM bars)""",
+    "fxv": f"""SELECT ticker, pair, CASE WHEN pair <> 'USD/JPY' THEN 'fx_identity_mismatch' WHEN max(copies) > 1 THEN 'duplicate_fx_date' WHEN count(*) > count(rate) THEN 'invalid_fx_rate'
+              WHEN coalesce(date_diff('day', max(session) FILTER (WHERE session <= DATE '2001-02-28'), DATE '2001-02-28') > {RD.FX_STALE_DAYS}, true) THEN 'stale_fx' END AS reason FROM fxl GROUP BY 1, 2""",
+}
 
 
-@query("normalize_fx", with_views(f"""SELECT {day('session', 'date')}, {r('100 + volume % 50')} AS rate FROM bars WHERE ticker = 'Brand#8' AND session <= DATE '2001-02-28'"""))
+@query("normalize_fx", with_views(
+    f"""SELECT ticker, pair, {day('session', 'date')}, {r('rate')} AS rate, NULL AS reason FROM fxl JOIN fxv USING (ticker, pair) WHERE reason IS NULL AND session <= DATE '2001-02-28'
+        UNION ALL SELECT ticker, pair, NULL, NULL, reason FROM fxv WHERE reason IS NOT NULL""", _FX))
 def normalize_fx(spark, d):
-    raw = V.bars(spark, d).where(F.col("ticker") == "Brand#8").select(
-        F.lit("USD/JPY").alias("pair"), F.lit("ok").alias("status"), F.lit("1day").alias("interval"), F.col("session").cast("string").alias("date"), (100 + F.col("volume") % 50).cast("string").alias("rate")
+    """Every brand a feed; some are of another pair, some repeat a date or hold an unreadable rate."""
+    n, rate = F.regexp_extract("ticker", r"(\d+)", 1).cast("int"), F.col("volume") % 50
+    twice = F.when((n % 10 == 5) & (rate == 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    raw = V.bars(spark, d).select(
+        "ticker", F.when(n % 10 == 7, "EUR/JPY").otherwise("USD/JPY").alias("pair"), F.lit("ok").alias("status"), F.lit("1day").alias("interval"), F.col("session").cast("string").alias("date"),
+        F.when((n % 10 == 6) & (rate == 7), "n/a").otherwise((100 + rate).cast("string")).alias("rate"), F.explode(twice).alias("copy"),
     )
-    good, _ = RD.normalize_fx(raw, F.to_date(F.lit("2001-03-05")), F.to_timestamp(F.lit("2001-03-01 09:00:00")))
-    return flat(good.select("date", "rate"))
+    good, bad = RD.normalize_fx(raw, F.to_date(F.lit("2001-03-05")), F.to_timestamp(F.lit("2001-03-01 09:00:00")), ("ticker",))
+    return flat(good.select("ticker", "pair", "date", "rate").unionByName(bad, allowMissingColumns=True))
 
 
 @query("normalize_listings", f"WITH l AS ({_LIST}) SELECT symbol || '|' || mic || '|' || country AS id, arg_max(name, pos) AS name FROM l GROUP BY 1")
@@ -365,7 +387,9 @@ def complete_listing(spark, d):
 FEED_ITEMS = 2000
 
 
-@query("read_feed_xml", r"""SELECT source AS source_id, count(*) AS articles FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source <> 'src3') WHERE doc_id % 100 <= 90 GROUP BY 1""")
+@query("read_feed_xml", r"""SELECT source AS source_id, pos, title, 'https://feed.example.com/n/' || doc_id AS url FROM (
+  SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source, doc_id // 2000 ORDER BY doc_id) - 1 AS BIGINT) AS pos, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g') || ' x', ' +', ' ', 'g')) AS title
+  FROM documents WHERE source <> 'src3') WHERE doc_id % 100 <= 90""")
 def read_feed_xml(spark, d):
     """Feeds rendered from documents, a source's in files of at most FEED_ITEMS ids; one source carries a document type and is refused."""
     doc, k = V.table(spark, d, "documents"), F.col("doc_id")
@@ -376,7 +400,7 @@ def read_feed_xml(spark, d):
     )
     per = doc.groupBy("source", F.floor(k / FEED_ITEMS).alias("part")).agg(F.sort_array(F.collect_list(F.struct(k, item.alias("x"))))["x"].alias("items"))
     xml = per.select(F.col("source").alias("source_id"), F.concat(F.when(F.col("source") == "src3", "<!DOCTYPE rss>").otherwise(""), F.lit("<rss><channel>"), F.array_join("items", ""), F.lit("</channel></rss>")).alias("xml"))
-    return RD.read_feed_xml(xml, F.to_timestamp(F.lit("2024-03-01 12:00:00"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))
+    return RD.read_feed_xml(xml, F.to_timestamp(F.lit("2024-03-01 12:00:00"))).select("source_id", F.col("pos").cast("long").alias("pos"), "title", "url")
 
 
 # ---- sinks --------------------------------------------------------------------------

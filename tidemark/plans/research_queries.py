@@ -419,17 +419,19 @@ def validate_samples(spark, d):
 # ---- records, manifests, change logs ---------------------------------------------------
 @query(
     "append_records",
-    """SELECT id, CASE WHEN k >= 8000 THEN 'insert' ELSE 'conflict' END AS outcome
-       FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, o_orderstatus AS st FROM orders WHERE o_orderkey % 3 = 0) WHERE k >= 8000 OR st = 'F'""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 3 = 0 THEN 'insert' ELSE 'conflict' END AS outcome
+       FROM orders WHERE o_custkey % 3 = 0 OR o_orderstatus = 'F'""",
 )
 def append_records(spark, d):
+    """All orders arrive; those of two customers in three are known, and closed ones of these come changed."""
     o = V.table(spark, d, "orders")
     rec = lambda df, body: df.select(
         F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), body.alias("body")
     ).withColumn("hash", F.sha2("body", 256))
     body = F.concat_ws("|", "o_orderstatus", F.col("o_custkey").cast("string"))
-    existing = rec(o.where(F.col("o_orderkey") < 8000), body)
-    new = rec(o.where(F.col("o_orderkey") % 3 == 0), F.when(F.col("o_orderstatus") == "F", F.concat(body, F.when(F.col("o_orderkey") < 8000, "!").otherwise(""))).otherwise(body))
+    known = F.col("o_custkey") % 3 != 0
+    existing = rec(o.where(known), body)
+    new = rec(o, F.when(known & (F.col("o_orderstatus") == "F"), F.concat(body, F.lit("!"))).otherwise(body))
     insert, conflicts = L.append_records(existing, new)
     return insert.select("id", F.lit("insert").alias("outcome")).unionByName(conflicts.select("id", F.lit("conflict").alias("outcome")))
 

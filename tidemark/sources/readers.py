@@ -83,39 +83,44 @@ def parse_price_payload_strict(raw: DataFrame, as_of: Column) -> tuple[DataFrame
     return bars, verdict.where(F.col("reason").isNotNull())
 
 
-def parse_vix_csv(raw: DataFrame, today: Column) -> DataFrame:
-    """Lines of either published layout to (source, date, close); last line per date wins.
+def parse_vix_csv(raw: DataFrame, today: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of either published layout to (keys, source, date, close); last line per date wins.
 
-    raw: source, pos, day, value. Sources with fewer than two valid dates give nothing.
+    raw: source, pos, day, value, and `keys` where several markets are read at once. Sources with
+    fewer than two valid dates give nothing.
     """
     day = F.coalesce(parse_date(F.col("day")), F.when(F.col("day").rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(F.col("day"), "M/d/yyyy")))
-    rows = raw.select("source", "pos", day.alias("date"), finite(clean(F.col("value")).try_cast("double")).alias("close"))
+    rows = raw.select(*keys, "source", "pos", day.alias("date"), finite(clean(F.col("value")).try_cast("double")).alias("close"))
     rows = rows.where((F.col("date") <= today) & (F.col("close") > 0))
-    last = rows.groupBy("source", "date").agg(F.max_by("close", "pos").alias("close"))
-    enough = last.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    return last.join(enough, "source", "left_semi")
+    last = rows.groupBy(*keys, "source", "date").agg(F.max_by("close", "pos").alias("close"))
+    enough = last.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    return last.join(enough, [*keys, "source"], "left_semi")
 
 
-def choose_latest_source(vix: DataFrame, order: list[str]) -> DataFrame:
-    """Newest close among sources with the one before it; ties go to the earlier source in `order`."""
+def choose_latest_source(vix: DataFrame, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Newest close among sources with the one before it, one row per `keys`; ties go to the earlier source in `order`, then to the smaller name."""
     rank = F.lit(len(order))
     for i, s in enumerate(order):
         rank = F.when(F.col("source") == s, i).otherwise(rank)
     # Two newest dates per source are enough: max, then max below it.
-    top = vix.groupBy("source").agg(F.max("date").alias("as_of"))
-    rows = vix.join(top, "source")
-    per = rows.groupBy("source", "as_of").agg(
+    top = vix.groupBy(*keys, "source").agg(F.max("date").alias("as_of"))
+    rows = vix.join(top, [*keys, "source"])
+    per = rows.groupBy(*keys, "source", "as_of").agg(
         F.max_by("close", "date").alias("close"), F.max(F.when(F.col("date") < F.col("as_of"), F.struct("date", "close"))).alias("p")
     )
-    best = per.withColumn("_r", F.struct(F.col("as_of"), (-rank).alias("r")))
-    return best.agg(F.max_by(F.struct("source", "as_of", "close", F.col("p.date").alias("previous_as_of"), F.col("p.close").alias("previous_close")), "_r").alias("x")).select("x.*")
+    found = F.struct("source", "as_of", "close", F.col("p.date").alias("previous_as_of"), F.col("p.close").alias("previous_close"))
+    best = per.groupBy(*keys).agg(F.min_by(found, F.struct(F.datediff(F.lit("1970-01-01"), "as_of").alias("d"), rank.alias("r"), "source")).alias("x"))
+    return best.where("x is not null").select(*keys, "x.*")
 
 
-def normalize_fx(raw: DataFrame, as_of: Column, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(pair, status, interval, date, rate) rows to completed daily rates, and rejected pairs with a reason."""
+def normalize_fx(raw: DataFrame, as_of: Column, now: Column, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(keys, pair, status, interval, date, rate) rows to completed daily rates, and rejected pairs with a reason.
+
+    `keys` name the feed where several are read at once; each feed's pair is judged on its own.
+    """
     cutoff = F.least(as_of, F.date_sub(F.to_date(now), 1))
     rows = raw.withColumn("day", parse_date(F.col("date"))).withColumn("value", finite(F.col("rate").try_cast("double")))
-    per = rows.groupBy("pair").agg(
+    per = rows.groupBy(*keys, "pair").agg(
         (F.min(F.col("status") == "ok") & F.min(F.col("interval") == "1day") & (F.max("pair") == "USD/JPY")).alias("identity"),
         F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"), F.min(positive(F.col("value"))).alias("valid"),
         F.max(F.when(F.col("day") <= cutoff, F.col("day"))).alias("last"),
@@ -124,9 +129,9 @@ def normalize_fx(raw: DataFrame, as_of: Column, now: Column) -> tuple[DataFrame,
         F.when(~F.coalesce("identity", F.lit(False)), "fx_identity_mismatch"), F.when(F.col("days") < F.col("n"), "duplicate_fx_date"),
         F.when(~F.col("valid"), "invalid_fx_rate"), F.when(F.col("last").isNull() | (F.datediff(cutoff, "last") > FX_STALE_DAYS), "stale_fx"),
     )
-    verdict = per.select("pair", reason.alias("reason"))
-    good = rows.join(verdict.where(F.col("reason").isNull()), "pair", "left_semi").where(F.col("day") <= cutoff)
-    return good.select("pair", F.col("day").alias("date"), F.col("value").alias("rate")), verdict.where(F.col("reason").isNotNull())
+    verdict = per.select(*keys, "pair", reason.alias("reason"))
+    good = rows.join(verdict.where(F.col("reason").isNull()), [*keys, "pair"], "left_semi").where(F.col("day") <= cutoff)
+    return good.select(*keys, "pair", F.col("day").alias("date"), F.col("value").alias("rate")), verdict.where(F.col("reason").isNotNull())
 
 
 def normalize_listings(raw: DataFrame, funds: bool = False) -> DataFrame:
