@@ -129,6 +129,39 @@ def test_feeds(spark):
     assert out["a"]["published_at"] == dt.datetime(2026, 9, 9, 1)
 
 
+def test_links_resolve_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["https://a.example.com/feeds/x/rss.xml?v=1", "https://a.example.com", "https://a.example.com/feeds/"]
+    links = ["/n/1", "n/2", "../3", "../../../4", "./5/./6", "?q=7", "//b.example.com/8", "https://c.example.com/9", "http://a.example.com/10", "http://b.example.com/11", "a/../12", "13/..", "n?x=../14", ""]
+    pairs = [(b, x) for b in bases for x in links]
+    got = [r[0] for r in RD.resolve_links(spark.createDataFrame(pairs, "base_url string, link string").coalesce(1)).select("link").collect()]
+    for (b, x), g in zip(pairs, got):
+        want = urljoin(b, x)
+        if urlsplit(want).scheme == "http" and urlsplit(want).netloc == urlsplit(b).netloc:
+            want = "https" + want[4:]
+        assert g.rstrip("/") == want.rstrip("/"), (b, x)
+    plain = spark.createDataFrame([("n/1", None), (None, "https://a.example.com/")], "link string, base_url string").coalesce(1)
+    assert [r[0] for r in RD.resolve_links(plain).select("link").collect()] == ["n/1", None]
+
+
+def test_mail_dates_as_the_standard_library_reads_them(spark):
+    from email.utils import parsedate_to_datetime
+
+    texts = ["Wed, 09 Sep 2026 10:00:00 GMT", "9 Sep 2026 10:00 EST", "Wed, 9 Sep 2026 10:00:00 PDT", "09 Sep 2026 10:00:00 +0900", "Wed, 09 Sep 2026 10:00:00 -0330", "Wed, 09 Sep 2026 10:00:00 UT"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "soon", "", None, "09 Sep 2026 10:00:00 XYZ"]], "t string").coalesce(1)
+    got = [r[0] for r in df.select(F.unix_seconds(RD.mail_date(F.col("t")))).collect()]
+    assert got == [int(parsedate_to_datetime(t).timestamp()) for t in texts] + [None] * 4
+
+
+def test_feed_items_with_relative_links_and_named_zones(spark):
+    item = "<item><title>A</title><link>{}</link><pubDate>Wed, 09 Sep 2026 10:00:00 EDT</pubDate></item>"
+    xml = "<rss><channel>" + "".join(item.format(x) for x in ("/n/1", "http://a.example.com/n/2", "http://other.example.com/n/3")) + "</channel></rss>"
+    df = spark.createDataFrame([("r", xml, "https://a.example.com/feed.xml")], "source_id string, xml string, base_url string")
+    rows = RD.read_feed_xml(df, F.lit(NOW).cast("timestamp")).orderBy("pos").collect()
+    assert [r["url"] for r in rows] == ["https://a.example.com/n/1", "https://a.example.com/n/2"] and rows[0]["published_at"] == dt.datetime(2026, 9, 9, 14)
+
+
 def test_observation_never_goes_back(spark, folder):
     s = "as_of date, ticker string, value double"
     a = spark.createDataFrame([(dt.date(2026, 9, 8), "A", 1.0), (dt.date(2026, 9, 8), "B", 2.0)], s)
@@ -164,7 +197,7 @@ def test_feed_files_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
     ids.select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(F.col("id") < 4990, "big").otherwise("src3").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
     seen, read = [], CQ.RD.read_feed_xml
     monkeypatch.setattr(CQ.RD, "read_feed_xml", lambda raw, now: seen.append(raw) or read(raw, now))
-    got = [tuple(r) for r in CQ.read_feed_xml(spark, str(tmp_path)).collect()]
-    assert got == [("big", sum(k % 100 <= 90 for k in range(4990)))]
+    got = sorted((r["source_id"], r["url"]) for r in CQ.read_feed_xml(spark, str(tmp_path)).collect())
+    assert got == sorted(("big", f"https://feed.example.com/n/{k}") for k in range(4990) if k % 100 <= 90)
     most = seen[0].select(F.max(F.size(F.split("xml", "<item>")) - 1)).first()[0]
     assert most <= 2000 and seen[0].count() == 4

@@ -166,27 +166,77 @@ def _unwrap(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
 
 
+#: Zone names of mail dates and their offsets; fixed values.
+MAIL_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
+def mail_date(text: Column) -> Column:
+    """Mail-style date (weekday and seconds optional, zone by offset or name) as a moment; else NULL."""
+    bare = F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", "")
+    name = F.upper(F.regexp_extract(bare, r"\s([A-Za-z]{1,4})\s*$", 1))
+    offset = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])[name]
+    whole = F.when(offset.isNotNull(), F.concat(F.regexp_replace(bare, r"\s[A-Za-z]{1,4}\s*$", " "), offset)).otherwise(F.trim(bare))
+    return F.coalesce(*[F.try_to_timestamp(whole, F.lit(f"d MMM yyyy HH:mm{seconds} Z")) for seconds in (":ss", "")])
+
+
+def resolve_links(rows: DataFrame) -> DataFrame:
+    """`link` as seen from the page `base_url`: relative forms are completed, dot segments taken out.
+
+    A plain-http link to the base's own host becomes https. Without a base, relative links stay as
+    they are. Done in three projections, so that no step's expression is repeated inside the next.
+    """
+    link, base = F.col("link"), F.col("base_url")
+    absolute, origin = r"^[A-Za-z][A-Za-z0-9+.-]*:", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+    site, scheme = F.regexp_extract(base, origin, 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(page == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    joined = (
+        F.when(link.rlike(absolute), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(page, link)).when((link == "") | link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link)).otherwise(F.concat(folder, link))
+    )
+    first = rows.withColumn("_whole", F.coalesce(joined, link))
+    whole = F.col("_whole")
+    head, tail = F.regexp_extract(whole, origin, 1), F.regexp_extract(whole, r"([?#].*)$", 1)
+    path = F.regexp_extract(whole, origin + r"([^?#]*)", 2)
+    steps = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(F.array_join(steps, "/"), F.lit("/"))).otherwise(F.array_join(steps, "/"))
+    clear = F.when((head != "") & path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, closed, tail)).otherwise(whole)
+    second = first.withColumn("_clear", clear)
+    clear = F.col("_clear")
+    own = F.lower(F.regexp_extract(clear, r"(?i)^http://([^/?#]*)", 1))
+    host = F.lower(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return second.withColumn("link", F.when((own != "") & (own == host), F.regexp_replace(clear, r"^(?i)http:", "https:")).otherwise(clear)).drop("_whole", "_clear")
+
+
 def read_feed_xml(raw: DataFrame, now: Column, items: int | None = None) -> DataFrame:
-    """RSS, Atom and RDF feeds (source_id, xml) to articles of the last 90 days.
+    """RSS, Atom and RDF feeds (source_id, xml, and base_url where known) to articles of the last 90 days.
 
     All entries are read, or the first `items` if that is given; entity and document-type
-    declarations reject the whole feed.
+    declarations reject the whole feed. Links are resolved against base_url.
     """
     safe = raw.where(~F.upper("xml").contains("<!DOCTYPE") & ~F.upper("xml").contains("<!ENTITY"))
     found = F.regexp_extract_all("xml", F.lit(r"(?is)<((?:[a-z0-9]+:)?(?:item|entry))\b[^>]*>.*?</\1\s*>"), F.lit(0))
-    rows = safe.select("source_id", F.posexplode(F.slice(found, 1, items) if items else found).alias("pos", "item"))
+    base = F.col("base_url") if "base_url" in raw.columns else F.lit(None).cast("string")
+    rows = safe.select("source_id", base.alias("base_url"), F.posexplode(F.slice(found, 1, items) if items else found).alias("pos", "item"))
     alternate = F.coalesce(
         F.nullif(F.regexp_extract("item", r'(?is)<link\b(?=[^>]*rel="alternate")[^>]*href="([^"]+)"', 1), F.lit("")),
         F.nullif(F.regexp_extract("item", r'(?is)<link\b(?![^>]*rel=)[^>]*href="([^"]+)"', 1), F.lit("")),
     )
     link = strip_html(_unwrap(F.coalesce(alternate, _field(F.col("item"), "link"))))
     stamp = _field(F.col("item"), "pubDate", "published", "updated", "date")
-    rfc = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(stamp, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
-    zoned = F.when(stamp.rlike(r"T.*(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(stamp))
-    out = rows.select(
-        "source_id", "pos", strip_html(_unwrap(_field(F.col("item"), "title"))).alias("title"), canonical_url(link).alias("url"),
-        F.coalesce(rfc, zoned).alias("published_at"),
+    rfc = mail_date(F.col("stamp"))
+    zoned = F.when(F.col("stamp").rlike(r"T.*(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp("stamp"))
+    fields = rows.select(
+        "source_id", "pos", "base_url", strip_html(_unwrap(_field(F.col("item"), "title"))).alias("title"), link.alias("link"), stamp.alias("stamp")
     )
+    known = resolve_links(fields) if "base_url" in raw.columns else fields
+    out = known.select("source_id", "pos", "title", canonical_url(F.col("link")).alias("url"), F.coalesce(rfc, zoned).alias("published_at"))
     window = F.col("published_at").between(now - F.expr("INTERVAL 90 DAYS"), now + F.expr("INTERVAL 5 MINUTES"))
     return out.where((F.col("title") != "") & F.col("url").isNotNull() & window).withColumn("id", F.substring(F.sha2("url", 256), 1, 20))
 
