@@ -201,3 +201,55 @@ def test_feed_files_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
     assert got == sorted(("big", f"https://feed.example.com/n/{k}") for k in range(4990) if k % 100 <= 90)
     most = seen[0].select(F.max(F.size(F.split("xml", "<item>")) - 1)).first()[0]
     assert most <= 2000 and seen[0].count() == 4
+
+
+def held_articles(spark):
+    articles = [(1, ["MU"], ["NVDA"]), (2, ["NVDA", "TSM"], []), (3, [], ["MU", "TSM"]), (4, ["XX"], []), (1, ["TSM"], []), (5, None, ["MU"])]
+    rows = spark.createDataFrame([(*a, NOW, "t") for a in articles], "id int, direct_tickers array<string>, related_tickers array<string>, published_at timestamp, topic string")
+    own = [(k, t) for k in range(40) for t in (["MU"], ["MUU", "TSM"], ["NVDL"], ["ASML", None], ["MU", "MUU"])[k % 5]]
+    own = own + own[:3]
+    target = {"MUU": "MU", "NVDL": "NVDA"}
+    want = {}
+    for i, direct, related, *_ in articles:
+        for k, t in own:
+            for d, names in ((1, direct or []), (0, related or [])):
+                if t and target.get(t, t) in names:
+                    pair = want.setdefault((i, k), {})
+                    pair[t] = max(d, pair.get(t, 0))
+    want = {p: tuple([sorted(t for t in v if v[t] == d)] for d in (1, 0)) for p, v in want.items()}
+    return rows, spark.createDataFrame(own, "account_id int, ticker string"), want
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_holdings_relate_without_a_shuffle_of_the_result(spark, most):
+    rows, own, want = held_articles(spark)
+    out = N.relate_to_holdings(rows, own, most)
+    got = [((r["id"], r["account_id"]), ([r["direct"]], [r["indirect"]])) for r in out.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_accounts") < min(plan.index(x) for x in ("Join", "Repartition")) and "max(d" not in plan
+
+
+def test_own_articles_are_found_without_their_accounts(spark):
+    rows, own, want = held_articles(spark)
+    out = N.filter_articles(rows, F.lit(NOW), "mine", own)
+    assert sorted(r["id"] for r in out.collect()) == [1, 1, 2, 3, 5] and {i for i, _ in want} == {1, 2, 3, 5}
+    assert "account_id" not in out._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD [account_id", "")
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_symbol_search_shuffles_hits_only(spark, most):
+    names = ["Micron", "Mitsui", "AA mi", "Brand mic", "none"]
+    listings = spark.createDataFrame([(i, f"B{i % 4}", names[i % 5], "X") for i in range(60)], "id int, symbol string, name string, exchange string")
+    queries = spark.createDataFrame([("mic",), ("B1",), ("b",), ("zz",), ("",)], "query string")
+    out = N.symbol_search(listings, queries, 5, most)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["position"]):
+        got.setdefault(r["query"], []).append(r["id"])
+    want = {}
+    for q in ("mic", "B1", "b"):
+        key = q.upper()
+        hit = [(0 if f"B{i % 4}" == key else 1 if f"B{i % 4}".startswith(key) else 2, f"B{i % 4}", i) for i in range(60) if key in (f"B{i % 4}" + names[i % 5]).upper().replace(" ", "")]
+        want[q] = [i for *_, i in sorted(hit)[:5]]
+    assert got == want
+    assert ("ResolvedHint (strategy=broadcast)" in out._jdf.queryExecution().analyzed().toString()) == (most > 0)
