@@ -214,3 +214,25 @@ def test_versions_in_force_by_interval_index(spark):
     )
     assert sorted((x["q"], x["v"]) for x in out.collect()) == want and want
     assert out.columns == ["theme_id", "q", "issued_at", "v", "valid_from", "valid_to", "known_at"]
+
+
+def test_bars_of_lines_are_added_up_without_a_sort_of_lines(spark, tmp_path):
+    from tidemark.plans import views as V
+
+    day = dt.datetime(2001, 3, 6)
+    lines = [(o, p, n, day + dt.timedelta(days=d), float(1 + (o + n) % 4), 10.0 * o + n + p) for o in (30, 4, 200) for n in (2, 1, 11) for p in (1, 2) for d in (1, 0, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate timestamp, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "A"), (2, "B")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    out = V.all_bars.__wrapped__.__wrapped__(spark, str(tmp_path))
+    want = {}
+    for name in ("A", "B", "MKT"):
+        for week in (dt.date(2001, 3, 5), dt.date(2001, 3, 12)):
+            own = sorted((t, o, n, q, x) for o, p, n, t, q, x in lines if name in ("AB"[p - 1], "MKT") and week <= t.date() < week + dt.timedelta(days=7))
+            first = {x / q for *key, q, x in own if key == list(own[0][:3])}
+            want[name, week] = (sum(r[4] for r in own) / sum(r[3] for r in own), sum(r[3] for r in own), first)
+    got = {(r["ticker"], r["session"]): r for r in out.collect()}
+    assert set(got) == set(want)
+    for k, (close, volume, first) in want.items():
+        assert (got[k]["close"], got[k]["volume"]) == (close, volume) and got[k]["open"] in first
+    # Lines meet hash aggregates only; a struct's minimum would have sorted them all.
+    assert out._jdf.queryExecution().executedPlan().toString().count("HashAggregate") >= 2
