@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import (
@@ -486,3 +487,31 @@ def test_scores_on_held_out_rows(spark):
     assert len(wrong) < 0.03 * len(held)
     assert weak_labels.score(docs.limit(0), labels).count() == 0
     assert weak_labels.score(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_classes_by_fingerprint_are_kept_as_one_and_the_rest_is_tested(spark):
+    r = random.Random(8)
+    say = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    base, family = say(60), say(200)
+    texts = [" ".join(t) for t in [base, family + say(40), family + say(35), say(50), family, base]]
+    # Thrice the same words: one fingerprint, though other shingles arise where the text meets itself.
+    texts += [" ".join(base[:4] * 3), " ".join(base[:4] * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = simhash_dedup.near_duplicates(df)
+    by_print = {r["doc_id"]: r["component_id"] for r in start.collect()}
+    alike, _ = similar_by_all_pairs(texts)
+    want = groups_of([*alike, *by_print.items()], range(len(texts)))
+    assert dict(simhash_dedup.similar_groups(df, Scratch(spark, "t"), start=start).collect()) == want
+    # Groups that only the fingerprints know are kept as one, too.
+    told = start.select("doc_id", F.when(F.col("doc_id") == 3, 0).otherwise(F.col("component_id")).cast("long").alias("component_id"))
+    got = dict(simhash_dedup.similar_groups(df, Scratch(spark, "t"), start=told).collect())
+    assert got == groups_of([*alike, *by_print.items(), (3, 0)], range(len(texts)))
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(df).collect()) == sorted({g for g in want.values()})
+
+
+def test_keep_one_asks_the_fingerprint_index(spark, docs, monkeypatch):
+    asked = []
+    inner = simhash_dedup.near_duplicates
+    monkeypatch.setattr(simhash_dedup, "near_duplicates", lambda *a, **k: asked.append(1) or inner(*a, **k))
+    simhash_dedup.keep_one(docs)
+    assert asked

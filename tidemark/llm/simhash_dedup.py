@@ -268,6 +268,7 @@ def shared_at_most(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_groups(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rows: int = 5, miss: float = 1e-4,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, group): groups of documents linked by a similarity of their word shingles.
 
@@ -283,6 +284,8 @@ def similar_groups(
     enough shingles, by their sizes and by the shingles that no other member has, are not formed.
     A group is named by its smallest id.
     Texts of equal shingles form one class beforehand. Rows whose id is null are left out.
+    `start`, if given, has doc_id and component_id of groups already found; they are taken over, and only
+    pairs across them are tested.
     """
     bands = math.ceil(math.log(miss) / math.log(1 - similarity**rows))
     schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -299,13 +302,24 @@ def similar_groups(
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     every = scratch.stage(mine.mapInArrow(run, "doc_id long, class binary, size long, bands array<long>"), "bands")
     classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    roots = None
+    if start is not None:
+        known = every.join(start.where("doc_id is not null"), "doc_id").join(classes.select("class", "rep"), "class")
+        roots = components(known.select(F.col("rep").alias("a"), F.col("component_id").alias("b")).distinct(), scratch, "start")
+
+    def grouped_by(members: DataFrame) -> DataFrame:
+        if roots is None:
+            return members.withColumn("group", F.col("rep"))
+        return members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("root", "rep")).drop("root")
+
     each = classes.select("rep", "size", F.explode("bands").alias("key"))
     met = each.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("low < top").select("key", "n")
     placed = scratch.stage(each.join(met, "key").select("key", "rep", "size", "n"), "placed")
     # How many meetings a member has over all its postings: most for the text that others were made from.
     meetings = placed.groupBy("rep").agg(F.sum("n").alias("meetings"))
     # `most` bounds how many shingles a member shares with any other: all, until rarer ones are counted.
-    postings = scratch.stage(placed.join(meetings, "rep").select("key", "rep", F.col("rep").alias("group"), "meetings", "size", F.col("size").alias("most")), "postings-0")
+    postings = grouped_by(placed.join(meetings, "rep")).select("key", "rep", "group", "meetings", "size", F.col("size").alias("most"))
+    postings = scratch.stage(postings, "postings-0")
 
     def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
@@ -328,7 +342,7 @@ def similar_groups(
         yield from batches(pair, found())
 
     first, second = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("p")), sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("q"))
-    tried = edges = roots = None
+    tried = None
     k = 0
     while True:
         counts = postings.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
@@ -360,25 +374,34 @@ def similar_groups(
         pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         linked = scratch.stage(pairs.join(first, "x").join(second, "y").mapInArrow(verified, "a long, b long"), f"linked-{k}")
-        edges = linked if edges is None else edges.unionByName(linked)
-        roots = components(edges, scratch, f"groups-{k}")
+        # Links are drawn between groups, so a round's components meet new links only.
+        ends = linked
+        if roots is not None:
+            for c in ("a", "b"):
+                ends = ends.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        fresh = components(ends.select("a", "b"), scratch, f"groups-{k}")
+        if roots is not None:
+            moved = roots.join(fresh.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            fresh = fresh.unionByName(moved.select("node", F.coalesce("to", "root").alias("root")))
+        roots = scratch.stage(fresh, f"roots-{k}")
         rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "meetings", "size", "most")
-        rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"), "meetings", "size", "most")
+        rest = grouped_by(rest).select("key", "rep", "group", "meetings", "size", "most")
         k += 1
         postings = scratch.stage(rest, f"postings-{k}")
         scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
-    if roots is None:
-        return every.join(classes.select("class", F.col("rep").alias("group")), "class").select("doc_id", "group")
-    grouped = classes.select("class", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("root", "rep").alias("group"))
-    return every.select("doc_id", "class").join(grouped, "class").select("doc_id", "group")
+    return every.select("doc_id", "class").join(grouped_by(classes.select("class", "rep")), "class").select("doc_id", "group")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that name their group in `similar_groups`: one row of each group stays.
+    """The rows of `docs` that name their group: one row of each group stays.
 
+    Groups are the classes of `near_duplicates`, by fingerprints and their index; `similar_groups` then
+    tests exactly what they leave apart, as blocks added or cut can change more bits than the distance.
     Rows that repeat in every column count as one; rows whose id is null stay, as no id tells them apart.
     """
-    groups = similar_groups(docs, Scratch(docs.sparkSession, "similar"), id_col, text_col, **how)
+    scratch = Scratch(docs.sparkSession, "similar")
+    prints = scratch.stage(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "prints")
+    groups = similar_groups(docs, scratch, id_col, text_col, start=prints, **how)
     kept = groups.where(F.col("doc_id") == F.col("group")).select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi").distinct()
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
