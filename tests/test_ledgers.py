@@ -1,6 +1,7 @@
 """Research, prediction ledger, portfolio and accounting with known numbers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,85 @@ def test_observations_of_one_moment_are_ordered_by_basis_and_assets(spark):
     df = spark.createDataFrame(rows, "account_id int, observed_at timestamp, source_key string, basis string, assets_jpy double")
     got = {(r["basis"], r["assets_jpy"], r["basis_changed"]) for r in P.record_observation(df.repartition(3)).collect()}
     assert got == {("a", 1.0, False)}
+
+
+POSITIONS = "array<struct<ticker:string,quantity:double,cost:double,currency:string>>"
+
+
+def owned(spark, parts=3):
+    """Random portfolios, several changes a day, dealt by account; closes with gaps; sessions of which some are open."""
+    rng = random.Random(5)
+    books = [[], [("MU", 2.0, 1.0, "USD")], [("MU", 2.0, 1.0, "USD"), ("X", 3.0, 2.0, "USD")]]
+    rows = [(a, dt.datetime(2026, 9, rng.randint(1, 20), rng.randint(0, 23), k), rng.choice(books)) for a in range(8) for k in range(9)]
+    changes = spark.createDataFrame(rows, f"account_id int, changed_at timestamp, positions {POSITIONS}").repartition(parts, "account_id")
+    days = [d for d in (dt.date(2026, 9, 1) + dt.timedelta(k) for k in range(24)) if d.weekday() < 5]
+    sessions = spark.createDataFrame([(d, i + 1, dt.datetime(d.year, d.month, d.day, 20)) for i, d in enumerate(days)], "session date, seq int, close_ts timestamp")
+    quotes = [(t, d, 100.0 + i, c) for i, d in enumerate(days) for t, c in (("MU", "USD"), ("X", "JPY")) if (i + len(t)) % 7]
+    closes = spark.createDataFrame(quotes, "ticker string, date date, close double, currency string")
+    fx = spark.createDataFrame([(d, 150.0 + i) for i, d in enumerate(days) if i % 6], "date date, rate double")
+    return rows, changes, days, sessions, closes, fx
+
+
+def plain_periods(rows):
+    """Changed states in time order, the last of each Japan day."""
+    out = {}
+    for a in range(8):
+        state, starts = None, {}
+        for _, at, book in sorted((r for r in rows if r[0] == a), key=lambda r: r[1]):
+            if book != state:
+                starts[(at + dt.timedelta(hours=9)).date()] = book
+            state = book
+        days = sorted(starts)
+        for d, after in zip(days, [*days[1:], None]):
+            out[a, d] = (after and after - dt.timedelta(1), sorted(p[0] for p in starts[d]))
+    return out
+
+
+def test_periods_of_changes_dealt_by_account_are_not_shuffled(spark):
+    rows, changes, *_ = owned(spark)
+    out = P.holding_periods(changes)
+    got = {(r["account_id"], r["start"]): (r["end"], sorted(p["ticker"] for p in r["positions"])) for r in out.collect()}
+    assert got == plain_periods(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_history_values_positions_where_their_account_lies(spark, most):
+    rows, changes, days, sessions, closes, fx = owned(spark)
+    now = dt.datetime(2026, 9, 22)
+    out = P.daily_history(P.holding_periods(changes), closes, fx, sessions, F.lit(now).cast("timestamp"), most=most)
+    got = {(r["account_id"], r["session"]): (r["assets_jpy"], r["fx_rate"]) for r in out.collect()}
+    price = {(r["ticker"], r["date"]): r["close"] for r in closes.collect()}
+    rate = {r["date"]: r["rate"] for r in fx.collect()}
+    want = {}
+    for (a, start), (end, held) in plain_periods(rows).items():
+        for d in days:
+            on = d + dt.timedelta(1)  # 20:00Z is the next day in Japan
+            if held and d < now.date() and start <= on and (end is None or on <= end) and all((t, d) in price for t in held) and ("MU" not in held or d in rate):
+                want[a, d] = (sum(price[t, d] * (2 * rate[d] if t == "MU" else 3) for t in held), rate[d] if "MU" in held else None)
+    assert got == want and want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in x and "ticker" in x for x in plan.splitlines()) == (most == 0)
+
+
+@pytest.mark.parametrize("month", [(8, 28, 40), (9, 10, 9), (9, 19, 12), (10, 1, 5)])
+def test_month_view_from_the_shown_sessions_equals_the_one_from_all(spark, month):
+    rows, changes, days, sessions, closes, fx = owned(spark)
+    now = F.lit(dt.datetime(2026, 9, 22)).cast("timestamp")
+    dates = spark.createDataFrame([(dt.date(2026, *month[:2]) + dt.timedelta(k),) for k in range(month[2])], "date date")
+    accounts = spark.createDataFrame([(a,) for a in range(10)], "account_id int")
+    periods = P.holding_periods(changes)
+
+    def view(calendar):
+        shown = P.daily_change(P.daily_history(periods, closes, fx, calendar, now))
+        out = P.day_state(accounts, dates, shown, periods, sessions, closes, fx, now).collect()
+        return {(r["account_id"], r["date"]): r["kind"] for r in out}
+
+    got = view(P.shown_sessions(sessions, dates))
+    assert got == view(sessions) and len(got) == 10 * month[2]
+    want = plain_periods(rows)
+    for (a, d), kind in got.items():
+        on = d + dt.timedelta(1)
+        owns = any(x == a and s <= on and (e is None or on <= e) and held for (x, s), (e, held) in want.items())
+        assert kind == "future" if d > dt.date(2026, 9, 22) else (kind in ("unregistered", "future")) or owns

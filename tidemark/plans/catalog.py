@@ -28,8 +28,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def flat(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Result columns in engine-neutral types: text dates, 64-bit integers, rounded doubles."""
+def flat(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Result columns in engine-neutral types: text dates, 64-bit integers, doubles rounded to `digits` (None: as they are)."""
     cols = []
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
@@ -40,7 +40,7 @@ def flat(df: DataFrame, digits: int = 6) -> DataFrame:
         elif kind in ("integer", "short", "byte"):
             c = c.cast("long")
         elif kind in ("double", "float"):
-            c = publish(c.cast("double"), digits)
+            c = c.cast("double") if digits is None else publish(c.cast("double"), digits)
         elif kind == "array":
             c = F.array_join(c.cast("array<string>"), ",")
         cols.append(c.alias(f.name))

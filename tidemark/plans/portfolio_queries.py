@@ -15,11 +15,13 @@ from tidemark.plans.views import kept, m, money, r, with_views
 
 HISTORY_NOW = "2001-03-15 00:00:00"
 HISTORY_NOW_SQL = f"TIMESTAMP '{HISTORY_NOW}'"
+#: An order has about 22 account-sessions of history here, so a part's sums stay within a task's memory.
+ORDERS_PER_PART = 1 << 15
 
 
 def cents(df):
     """Result columns in engine-neutral types with doubles as comparable money."""
-    plain = flat(df, 9)
+    plain = flat(df, None)  # rounded once, to cents
     return plain.select(*[money(n) if t == "double" else F.col(n) for n, t in plain.dtypes])
 
 
@@ -35,7 +37,7 @@ def lots(spark, d):
         F.col("l_orderkey").alias("o_orderkey"), F.col("p_brand").alias("ticker"), "l_linenumber",
         F.col("l_quantity").cast("decimal(18,2)").alias("q"), F.col("l_extendedprice").cast("decimal(18,2)").alias("p"),
     )
-    return lines.join(orders, "o_orderkey")
+    return lines.join(orders.hint("shuffle_hash"), "o_orderkey")  # orders are the built side, lines are not sorted
 
 
 @kept
@@ -50,8 +52,15 @@ def holdings(spark, d):
 
 @kept
 def position_changes(spark, d):
-    """Each order day replaces the account's portfolio by that day's lines, by brand."""
-    per = lots(spark, d).groupBy("account_id", "day", "ticker").agg(F.sum("q").cast("double").alias("quantity"), F.sum("p").cast("double").alias("_p"))
+    """Each order day replaces the account's portfolio by that day's lines, by brand.
+
+    Lines are dealt by account once, in parts of about ORDERS_PER_PART orders, and stay there: an account's
+    days, periods and sessions need no other shuffle.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, V.table(spark, d, "orders").count() // ORDERS_PER_PART)
+    lines = lots(spark, d).select("account_id", "day", "ticker", "q", "p").repartition(parts, "account_id")
+    total = lambda c: F.sum((F.col(c) * 100).cast("long")) / 100.0  # noqa: E731 - whole cents, exact
+    per = lines.groupBy("account_id", "day", "ticker").agg(total("q").alias("quantity"), total("p").alias("_p"))
     pos = F.struct("ticker", "quantity", (F.col("_p") / F.col("quantity")).alias("cost"), F.lit("USD").alias("currency"))
     return per.groupBy("account_id", "day").agg(F.collect_list(pos).alias("positions")).select(
         "account_id", F.col("day").cast("timestamp").alias("changed_at"),
@@ -276,7 +285,7 @@ def daily_history(spark, d):
 )
 def daily_change(spark, d):
     out = P.daily_change(_history(spark, d))
-    return cents(out.select("account_id", "session", money("change"), "change_rate"))
+    return cents(out.select("account_id", "session", "change", "change_rate"))
 
 
 @query(
@@ -303,7 +312,8 @@ def day_state(spark, d):
     accounts = V.table(spark, d, "customer").select(F.col("c_custkey").alias("account_id"))
     dates = spark.sql("SELECT explode(sequence(DATE '2001-03-01', DATE '2001-03-31')) AS date")
     periods = _periods(spark, d)
-    changes = P.daily_change(_history(spark, d))
+    shown = P.shown_sessions(V.sessions(spark, d), dates)
+    changes = P.daily_change(P.daily_history(periods, closes(spark, d), fx(spark, d), shown, _hist_now()))
     return flat(P.day_state(accounts, dates, changes, periods, V.sessions(spark, d), closes(spark, d), fx(spark, d), _hist_now()))
 
 
