@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tidemark.llm.common import shared_folder
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +69,14 @@ def test_run_takes_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_near_duplicates_leave_only_the_kept_ids_behind(spark, tmp_path):
+    texts, _ = planted(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert [n.split("-")[0] for n in left if n.startswith(("simhash", "similar", "kept"))] == ["kept"]
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {*texts, 14, 15} - {3, 4, 15}

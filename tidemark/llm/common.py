@@ -52,11 +52,15 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Free all tables of this call, once its result lies elsewhere."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for n in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 

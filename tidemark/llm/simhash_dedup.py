@@ -201,7 +201,7 @@ def neighbour_links(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, large: int = LARGE_POSTING,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, large: int = LARGE_POSTING, scratch: Scratch | None = None,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id per row of `docs`.
 
@@ -210,7 +210,7 @@ def near_duplicates(
     to its class but never names it, unless the class has no other; equal rows are linked by
     their equal fingerprints; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.stage(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = scratch.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     found = links(distinct.select("fp"), distance, large, scratch)
@@ -398,10 +398,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Groups are the classes of `near_duplicates`, by fingerprints and their index; `similar_groups` then
     tests exactly what they leave apart, as blocks added or cut can change more bits than the distance.
     Rows that repeat in every column count as one; rows whose id is null stay, as no id tells them apart.
+    Only the kept ids stay in the shared folder; the index, bands, classes, shingles and pairs are freed
+    before the caller goes on.
     """
-    scratch = Scratch(docs.sparkSession, "similar")
-    prints = scratch.stage(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "prints")
+    scratch, result = Scratch(docs.sparkSession, "similar"), Scratch(docs.sparkSession, "kept")
+    index = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.stage(near_duplicates(docs, id_col, text_col, scratch=index).select("doc_id", "component_id"), "prints")
+    index.clear()
     groups = similar_groups(docs, scratch, id_col, text_col, start=prints, **how)
     kept = groups.where(F.col("doc_id") == F.col("group")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = result.stage(kept, "ids")
+    scratch.clear()
     named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi").distinct()
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
