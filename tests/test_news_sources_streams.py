@@ -162,6 +162,32 @@ def test_feed_items_with_relative_links_and_named_zones(spark):
     assert [r["url"] for r in rows] == ["https://a.example.com/n/1", "https://a.example.com/n/2"] and rows[0]["published_at"] == dt.datetime(2026, 9, 9, 14)
 
 
+def test_each_feed_field_is_parsed_once(spark):
+    feed = "<rss><channel><item><title>A</title><link>https://a.example.com/n/1</link><pubDate>Wed, 09 Sep 2026 10:00:00 GMT</pubDate></item></channel></rss>"
+    rows = [("r", feed, "https://a.example.com/f"), ("d", "<!docType x>" + feed, None), ("e", "<!eNtity x>" + feed, None)]
+    for columns in ("source_id string, xml string, base_url string", "source_id string, xml string"):
+        df = spark.createDataFrame([r[: columns.count(",") + 1] for r in rows], columns)
+        out = RD.read_feed_xml(df, F.lit(NOW).cast("timestamp"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # One title pattern (its two tags) and one unwrapping each of title and link.
+        assert plan.count("?title") == 2 and plan.count("CDATA") == 2
+        assert [(r["source_id"], r["pos"], r["title"], r["url"]) for r in out.collect()] == [("r", 0, "A", "https://a.example.com/n/1")]
+
+
+def test_feed_titles_of_odd_texts(spark, tmp_path):
+    import re
+
+    from tidemark.plans import contract_queries as CQ
+
+    texts = ["", "...", "  two   words \n\n and\tmore ", "Größe über 100 %", "<item>&amp;]]></title><link>x</link>", "a\U0001f600b 語 c", "x" * 5000 + "\r\n" + "y. " * 5000]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = CQ.read_feed_xml(spark, str(tmp_path))
+    # Runs of letters and blanks are taken; a negated class over whole texts is slow beside other tasks.
+    assert "[^A-Za-z" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = [(k, re.sub(" +", " ", re.sub("[^A-Za-z ]", "", t) + " x").strip(" ")) for k, t in enumerate(texts)]
+    assert sorted((r["pos"], r["title"]) for r in out.collect()) == want
+
+
 def test_observation_never_goes_back(spark, folder):
     s = "as_of date, ticker string, value double"
     a = spark.createDataFrame([(dt.date(2026, 9, 8), "A", 1.0), (dt.date(2026, 9, 8), "B", 2.0)], s)

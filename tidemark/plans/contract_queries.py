@@ -394,8 +394,10 @@ def read_feed_xml(spark, d):
     """Feeds rendered from documents, a source's in files of at most FEED_ITEMS ids; one source carries a document type and is refused."""
     doc, k = V.table(spark, d, "documents"), F.col("doc_id")
     at = F.to_timestamp(F.lit("2024-03-01 12:00:00")) - F.expr("make_dt_interval(cast(doc_id % 100 as int))")
+    # Runs of kept characters: a negated class over whole texts slows down by the number of tasks that share a process.
+    words = F.array_join(F.regexp_extract_all("text", F.lit(r"[A-Za-z ]+"), F.lit(0)), "")
     item = F.concat(
-        F.lit("<item><title><![CDATA["), F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(" x]]></title><link>https://Feed.example.com/n/"), k.cast("string"), F.lit("?utm_source=rss</link><pubDate>"),
+        F.lit("<item><title><![CDATA["), words, F.lit(" x]]></title><link>https://Feed.example.com/n/"), k.cast("string"), F.lit("?utm_source=rss</link><pubDate>"),
         F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
     )
     per = doc.groupBy("source", F.floor(k / FEED_ITEMS).alias("part")).agg(F.sort_array(F.collect_list(F.struct(k, item.alias("x"))))["x"].alias("items"))

@@ -220,7 +220,7 @@ def read_feed_xml(raw: DataFrame, now: Column, items: int | None = None) -> Data
     All entries are read, or the first `items` if that is given; entity and document-type
     declarations reject the whole feed. Links are resolved against base_url.
     """
-    safe = raw.where(~F.upper("xml").contains("<!DOCTYPE") & ~F.upper("xml").contains("<!ENTITY"))
+    safe = raw.where(~F.col("xml").rlike("(?i)<!(?:DOCTYPE|ENTITY)"))
     found = F.regexp_extract_all("xml", F.lit(r"(?is)<((?:[a-z0-9]+:)?(?:item|entry))\b[^>]*>.*?</\1\s*>"), F.lit(0))
     base = F.col("base_url") if "base_url" in raw.columns else F.lit(None).cast("string")
     rows = safe.select("source_id", base.alias("base_url"), F.posexplode(F.slice(found, 1, items) if items else found).alias("pos", "item"))
@@ -236,7 +236,9 @@ def read_feed_xml(raw: DataFrame, now: Column, items: int | None = None) -> Data
         "source_id", "pos", "base_url", strip_html(_unwrap(_field(F.col("item"), "title"))).alias("title"), link.alias("link"), stamp.alias("stamp")
     )
     known = resolve_links(fields) if "base_url" in raw.columns else fields
-    out = known.select("source_id", "pos", "title", canonical_url(F.col("link")).alias("url"), F.coalesce(rfc, zoned).alias("published_at"))
+    # A filter on projected columns is pushed below them with every pattern copied into it; one on a generator's output is not.
+    article = F.struct("source_id", "pos", "title", canonical_url(F.col("link")).alias("url"), F.coalesce(rfc, zoned).alias("published_at"))
+    out = known.select(F.inline(F.array(article)))
     window = F.col("published_at").between(now - F.expr("INTERVAL 90 DAYS"), now + F.expr("INTERVAL 5 MINUTES"))
     return out.where((F.col("title") != "") & F.col("url").isNotNull() & window).withColumn("id", F.substring(F.sha2("url", 256), 1, 20))
 
