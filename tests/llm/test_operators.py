@@ -515,3 +515,32 @@ def test_keep_one_asks_the_fingerprint_index(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "near_duplicates", lambda *a, **k: asked.append(1) or inner(*a, **k))
     simhash_dedup.keep_one(docs)
     assert asked
+
+
+def test_staged_tables_have_few_files_where_partitions_are_not_coalesced(spark, monkeypatch):
+    r = random.Random(9)
+    say = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    base = say(200)
+    texts = [" ".join(base[: 200 - 2 * k] + say(2 * k)) for k in range(20)] + [" ".join(say(50)) for _ in range(40)] + [" ".join(base)] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted({*similar_by_all_pairs(texts)[1].values()})
+    files, inner = {}, Scratch.stage
+
+    def staged(self, df, name, *a, **k):
+        out = inner(self, df, name, *a, **k)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "stage", staged)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        kept = simhash_dedup.keep_one(df)
+        assert sorted(x["doc_id"] for x in kept.collect()) == want
+        assert kept.rdd.getNumPartitions() <= 1 + df.rdd.getNumPartitions()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert max(files.values()) <= 3 and len(files) > 15, files

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Stands for a null document id inside binary id lists; sorts after every other id.
 NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, ids binary, ends binary, attrs binary, text binary"
+#: Rows a written file should hold at least, where a table's rows are counted: of a few numbers each, or of whole texts.
+SLIM_ROWS, WIDE_ROWS = 1 << 15, 1 << 11
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def gathered(df: DataFrame, rows: int, per: int = SLIM_ROWS) -> DataFrame:
+    """`df`, which has about `rows` rows, in as few partitions as leave each about `per`; never in more than it has.
+
+    Adaptive execution does so where it may. Where it may not, each round of a loop would write a small
+    table as hundreds of files, and a local folder costs the writing JVM several processes a file.
+    """
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 class Scratch:
     """Tables written to the shared folder during one operator call.
 
@@ -47,8 +58,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def stage(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def stage(self, df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, per: int = SLIM_ROWS) -> DataFrame:
+        """`df` as a written table. `rows`, where they are about known, bound the number of its files."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = gathered(df, rows, per)
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

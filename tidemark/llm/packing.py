@@ -220,7 +220,7 @@ def pack_documents(
     table = F.broadcast(spark.createDataFrame(plan, SLOT))
     ranked = _running(rest, ["class"], F.lit(1).cast("long"), "rank", parts)
     hit = (F.col("class") == F.col("kind")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    placed = scratch.stage(ranked.join(table, hit, "left"), "placed")
+    placed = scratch.stage(ranked.join(table, hit, "left"), "placed", rows=int(counts.sum()))
     step = F.col("rank") - F.col("low")
     numbered = placed.where("kind is not null").select(
         "doc_id", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),

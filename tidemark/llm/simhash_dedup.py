@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, batches, texts
+from tidemark.llm.common import WIDE_ROWS, Scratch, batches, gathered, texts
 from tidemark.llm.graph import components
 
 SEED = 42
@@ -109,12 +109,12 @@ def _links_large(fp: np.ndarray, distance: int) -> tuple[list, list]:
     return a, b
 
 
-def links(prints: DataFrame, distance: int, large: int, scratch: Scratch, name: str = "links", masks: list[int] | None = None) -> DataFrame:
+def links(prints: DataFrame, distance: int, large: int, scratch: Scratch, name: str = "links", masks: list[int] | None = None, rows: int | None = None) -> DataFrame:
     """Edges (a, b) of signed fingerprints that keep every link's endpoints connected.
 
     `prints` has distinct fp. Inside a posting the members that share the guaranteed bytes are
     verified by their differing bits. Postings of more than `large` members are left to
-    `neighbour_links`, which is exact as well.
+    `neighbour_links`, which is exact as well. `rows`, if given, is about how many edges there are.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     small = min(8, large)
@@ -178,7 +178,7 @@ def links(prints: DataFrame, distance: int, large: int, scratch: Scratch, name:
     postings = prints.select("fp", F.posexplode(kept).alias("mask", "m")).select("mask", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = postings.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(verify, "a long, b long")
-    return scratch.stage(found.distinct(), name)
+    return scratch.stage(found.distinct(), name, rows=rows)
 
 
 def neighbour_links(prints: DataFrame, distance: int) -> DataFrame:
@@ -212,19 +212,20 @@ def near_duplicates(
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.stage(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = scratch.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = links(distinct.select("fp"), distance, large, scratch)
+    n_docs = prints.count()
+    distinct = scratch.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct", rows=n_docs)
+    n = distinct.count()
+    found = links(distinct.select("fp"), distance, large, scratch, rows=8 * n)
     crowded = scratch.stage(found.where("a = b").select(F.col("a").alias("fp")), "crowded")
-    edges = found.where("a != b")
+    edges, most = found.where("a != b"), found.count()
     if not crowded.isEmpty():
-        edges = edges.unionByName(neighbour_links(crowded, distance))
-    roots = components(edges, scratch)
+        edges, most = edges.unionByName(neighbour_links(crowded, distance)), None
+    roots = components(edges, scratch, rows=most)
     # A class is named by its smallest id, not by its smallest fingerprint.
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(scratch.stage(named, "named"), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return gathered(prints.join(scratch.stage(named, "named", rows=n), "fp").select("doc_id", shown, "component_id"), n_docs)
 
 
 def minhash_bands(shingles: np.ndarray, rows: int, bands: int) -> list[int]:
@@ -301,11 +302,12 @@ def similar_groups(
 
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     every = scratch.stage(mine.mapInArrow(run, "doc_id long, class binary, size long, bands array<long>"), "bands")
-    classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    n_docs = every.count()
+    classes = scratch.stage(every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes", rows=n_docs)
     roots = None
     if start is not None:
         known = every.join(start.where("doc_id is not null"), "doc_id").join(classes.select("class", "rep"), "class")
-        roots = components(known.select(F.col("rep").alias("a"), F.col("component_id").alias("b")).distinct(), scratch, "start")
+        roots = components(known.select(F.col("rep").alias("a"), F.col("component_id").alias("b")).distinct(), scratch, "start", rows=n_docs)
 
     def grouped_by(members: DataFrame) -> DataFrame:
         if roots is None:
@@ -314,12 +316,13 @@ def similar_groups(
 
     each = classes.select("rep", "size", F.explode("bands").alias("key"))
     met = each.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("low < top").select("key", "n")
-    placed = scratch.stage(each.join(met, "key").select("key", "rep", "size", "n"), "placed")
+    placed = scratch.stage(each.join(met, "key").select("key", "rep", "size", "n"), "placed", rows=4 * n_docs)
+    n = placed.count()
     # How many meetings a member has over all its postings: most for the text that others were made from.
     meetings = placed.groupBy("rep").agg(F.sum("n").alias("meetings"))
     # `most` bounds how many shingles a member shares with any other: all, until rarer ones are counted.
     postings = grouped_by(placed.join(meetings, "rep")).select("key", "rep", "group", "meetings", "size", F.col("size").alias("most"))
-    postings = scratch.stage(postings, "postings-0")
+    postings = scratch.stage(postings, "postings-0", rows=n)
 
     def shingled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
@@ -327,7 +330,9 @@ def similar_groups(
             yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     asked = postings.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.stage(mine.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
+    read = gathered(mine.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), n_docs, WIDE_ROWS)
+    sets = read.mapInArrow(shingled, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    sets = scratch.stage(sets, "shingles", rows=n_docs, per=WIDE_ROWS)
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,14 +352,16 @@ def similar_groups(
     while True:
         counts = postings.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
         split = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        live = scratch.stage(postings.join(split.select("key", F.col("most.group").alias("main")), "key"), f"live-{k}")
-        if live.isEmpty():
+        live = scratch.stage(postings.join(split.select("key", F.col("most.group").alias("main")), "key"), f"live-{k}", rows=n)
+        n = live.count()
+        if not n:
             break
         if k:
-            bound = scratch.stage(shared_at_most(live.select("rep").distinct(), sets), f"bound-{k}")
+            bound = scratch.stage(shared_at_most(live.select("rep").distinct(), sets), f"bound-{k}", rows=min(n, n_docs))
             live = live.drop("most").join(bound, "rep").where(F.col("most") >= similarity * F.col("size"))
-            live = scratch.stage(live, f"bounded-{k}")
-            if live.isEmpty():
+            live = scratch.stage(live, f"bounded-{k}", rows=n)
+            n = live.count()
+            if not n:
                 break
         once = F.lit(True)
         if k:
@@ -366,28 +373,30 @@ def similar_groups(
         mixed = F.xxhash64("rep", F.lit(k))
         drawn = live.where("group != main").groupBy("key", F.pmod(mixed, F.lit(4 * 8 ** min(k, 16))).alias("place"))
         first_of = F.min(F.struct((-F.col("meetings")).alias("m"), mixed.alias("h"), F.col("rep"), F.col("group"), F.col("size"), F.col("most"), *([F.col("keys")] if k else []))).alias("t")
-        testers = scratch.stage(drawn.agg(first_of).select("key", F.col("t.rep").alias("tester"), F.col("t.group").alias("own"), F.col("t.size").alias("n"), F.col("t.most").alias("top"), *([F.col("t.keys").alias("others")] if k else [])), f"testers-{k}")
+        testers = scratch.stage(drawn.agg(first_of).select("key", F.col("t.rep").alias("tester"), F.col("t.group").alias("own"), F.col("t.size").alias("n"), F.col("t.most").alias("top"), *([F.col("t.keys").alias("others")] if k else [])), f"testers-{k}", rows=n)
         # Similar sets share at least `similarity` / (1 + `similarity`) of the sum of their sizes.
         enough = F.least("most", "top") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("n")) - 1e-6
         met = live.join(testers, "key").where((F.col("group") != F.col("own")) & enough & once)
         pairs = met.select(F.greatest("rep", "tester").alias("x"), F.least("rep", "tester").alias("y")).distinct()
-        pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}")
+        pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}", rows=8 * n)
+        n_pairs = pairs.count()
         tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = scratch.stage(pairs.join(first, "x").join(second, "y").mapInArrow(verified, "a long, b long"), f"linked-{k}")
+        compared = gathered(pairs.join(first, "x").join(second, "y"), n_pairs, WIDE_ROWS)
+        linked = scratch.stage(compared.mapInArrow(verified, "a long, b long"), f"linked-{k}")
         # Links are drawn between groups, so a round's components meet new links only.
         ends = linked
         if roots is not None:
             for c in ("a", "b"):
                 ends = ends.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-        fresh = components(ends.select("a", "b"), scratch, f"groups-{k}")
+        fresh = components(ends.select("a", "b"), scratch, f"groups-{k}", rows=n_pairs)
         if roots is not None:
             moved = roots.join(fresh.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             fresh = fresh.unionByName(moved.select("node", F.coalesce("to", "root").alias("root")))
-        roots = scratch.stage(fresh, f"roots-{k}")
+        roots = scratch.stage(fresh, f"roots-{k}", rows=n_docs)
         rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "meetings", "size", "most")
         rest = grouped_by(rest).select("key", "rep", "group", "meetings", "size", "most")
         k += 1
-        postings = scratch.stage(rest, f"postings-{k}")
+        postings = scratch.stage(rest, f"postings-{k}", rows=n)
         scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
     return every.select("doc_id", "class").join(grouped_by(classes.select("class", "rep")), "class").select("doc_id", "group")
 
@@ -407,7 +416,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     index.clear()
     groups = similar_groups(docs, scratch, id_col, text_col, start=prints, **how)
     kept = groups.where(F.col("doc_id") == F.col("group")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = result.stage(kept, "ids")
+    kept = result.stage(kept, "ids", rows=prints.count())
     scratch.clear()
     named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi").distinct()
+    named = gathered(named, kept.count(), WIDE_ROWS)
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
