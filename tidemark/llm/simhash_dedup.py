@@ -333,6 +333,7 @@ def similar_groups(
     read = gathered(mine.join(asked.hint("shuffle_hash"), "doc_id", "left_semi"), n_docs, WIDE_ROWS)
     sets = read.mapInArrow(shingled, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     sets = scratch.stage(sets, "shingles", rows=n_docs, per=WIDE_ROWS)
+    n_sets, n_tried = sets.count(), 0
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +358,7 @@ def similar_groups(
         if not n:
             break
         if k:
-            bound = scratch.stage(shared_at_most(live.select("rep").distinct(), sets), f"bound-{k}", rows=min(n, n_docs))
+            bound = scratch.stage(shared_at_most(live.select("rep").distinct(), sets), f"bound-{k}", rows=n_sets, per=WIDE_ROWS)
             live = live.drop("most").join(bound, "rep").where(F.col("most") >= similarity * F.col("size"))
             live = scratch.stage(live, f"bounded-{k}", rows=n)
             n = live.count()
@@ -378,10 +379,11 @@ def similar_groups(
         enough = F.least("most", "top") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("n")) - 1e-6
         met = live.join(testers, "key").where((F.col("group") != F.col("own")) & enough & once)
         pairs = met.select(F.greatest("rep", "tester").alias("x"), F.least("rep", "tester").alias("y")).distinct()
-        pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}", rows=8 * n)
+        pairs = scratch.stage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"pairs-{k}", rows=8 * n + n_tried)
         n_pairs = pairs.count()
+        n_tried += n_pairs
         tried = pairs if tried is None else tried.unionByName(pairs)
-        compared = gathered(pairs.join(first, "x").join(second, "y"), n_pairs, WIDE_ROWS)
+        compared = gathered(pairs.join(first, "x").join(second, "y"), max(n_pairs, n_sets), WIDE_ROWS)  # all sets are read, however few pairs there are
         linked = scratch.stage(compared.mapInArrow(verified, "a long, b long"), f"linked-{k}")
         # Links are drawn between groups, so a round's components meet new links only.
         ends = linked
@@ -396,7 +398,7 @@ def similar_groups(
         rest = live.join(testers.select("key", F.col("tester").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "meetings", "size", "most")
         rest = grouped_by(rest).select("key", "rep", "group", "meetings", "size", "most")
         k += 1
-        postings = scratch.stage(rest, f"postings-{k}", rows=n)
+        postings = scratch.stage(rest, f"postings-{k}", rows=n + n_docs)
         scratch.drop(f"postings-{k - 1}", f"live-{k - 1}", f"testers-{k - 1}")
     return every.select("doc_id", "class").join(grouped_by(classes.select("class", "rep")), "class").select("doc_id", "group")
 
@@ -416,8 +418,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     index.clear()
     groups = similar_groups(docs, scratch, id_col, text_col, start=prints, **how)
     kept = groups.where(F.col("doc_id") == F.col("group")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = result.stage(kept, "ids", rows=prints.count())
+    n_docs = prints.count()
+    kept = result.stage(kept, "ids", rows=n_docs)
     scratch.clear()
     named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi").distinct()
-    named = gathered(named, kept.count(), WIDE_ROWS)
+    named = gathered(named, n_docs, WIDE_ROWS)
     return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
