@@ -256,6 +256,27 @@ def test_holdings_relate_without_a_shuffle_of_the_result(spark, most):
     assert plan.index("Generate explode(_accounts") < min(plan.index(x) for x in ("Join", "Repartition")) and "max(d" not in plan
 
 
+def test_holdings_are_written_in_a_fraction_of_a_byte_a_row(spark, tmp_path):
+    """Every article meets 2,000 of 6,001 accounts or more; ids that are null are ids too."""
+    kinds = F.array(*[F.array(F.lit(t)) for t in ("MU", "NVDA", "TSM")])
+    rows = spark.range(1500).select(F.when(F.col("id") > 0, F.col("id") * 7919 % 1_000_003).alias("id"), F.get(kinds, F.col("id") % 3).alias("direct_tickers"), F.array(F.lit("ASML")).alias("related_tickers"))
+    account = F.when(F.col("id") < 6000, F.col("id") * 104_729 % 10_000_019)
+    own = spark.range(6001).select(account.alias("account_id"), F.get(F.array(*[F.lit(t) for t in ("MUU", "NVDL", "TSM")]), F.col("id") % 3).alias("ticker"))
+    own = own.unionByName(own.where(F.col("account_id") < 1_000_000).withColumn("ticker", F.lit("ASML")))
+    path = str(tmp_path / "out")
+    N.relate_to_holdings(rows, own, text=True).write.parquet(path)
+    got = spark.read.parquet(path)
+
+    held = own.select("account_id", "ticker", F.expr("CASE ticker WHEN 'MUU' THEN 'MU' WHEN 'NVDL' THEN 'NVDA' ELSE ticker END").alias("target"))
+    named = rows.select("id", F.col("direct_tickers")[0].alias("target"), F.lit("direct").alias("kind")).unionByName(rows.select("id", F.lit("ASML").alias("target"), F.lit("indirect").alias("kind")))
+    each = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("ticker"))), F.lit("")).alias(k)
+    want = named.join(held, "target").groupBy("id", "account_id").agg(each("direct"), each("indirect"))
+    sums = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "account_id", "direct", "indirect").cast("decimal(38,0)"))).first()
+    assert sums(got) == sums(want) and got.where("id IS NULL AND account_id IS NULL").count() == 1
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*"))
+    assert size < 0.5 * got.count()
+
+
 def test_own_articles_are_found_without_their_accounts(spark):
     rows, own, want = held_articles(spark)
     out = N.filter_articles(rows, F.lit(NOW), "mine", own)
